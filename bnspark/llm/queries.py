@@ -8,18 +8,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bnspark.llm.common import read
+from bnspark.llm.exact_dedup import exact_duplicates
+from bnspark.llm.fingerprints import edited_fingerprints
 from bnspark.llm.simhash import simhash_components
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(read(spark, sf_dir, "documents"))
+
+
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_components(read(spark, sf_dir, "documents"), shingle=3)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES: dict[str, Query] = {
+    "op2_document_fingerprints": op2_document_fingerprints,
+    "op4_exact_dedup": op4_exact_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+# A-Z alone are lower-cased, so the letters are translated and the rest stays as it is.
+OP4_SQL = """
+WITH t AS (
+    SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
+    FROM documents
+)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       doc_id = max(doc_id) OVER w AS kept, text_sha256
+FROM t WINDOW w AS (PARTITION BY text_sha256)
+"""
+
+ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL}
