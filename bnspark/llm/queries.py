@@ -11,6 +11,7 @@ from bnspark.llm.common import read
 from bnspark.llm.exact_dedup import exact_duplicates
 from bnspark.llm.fingerprints import edited_fingerprints
 from bnspark.llm.simhash import simhash_components
+from bnspark.llm.warc import round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,10 +29,17 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(read(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op2_document_fingerprints": op2_document_fingerprints,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_warc": op7_warc,
 }
 
 # A-Z alone are lower-cased, so the letters are translated and the rest stays as it is.
