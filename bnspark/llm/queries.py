@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from bnspark.llm.common import read
 from bnspark.llm.exact_dedup import exact_duplicates
 from bnspark.llm.fingerprints import edited_fingerprints
+from bnspark.llm.quality import quality_scores
+from bnspark.llm.sentencepiece_bpe import token_digests
 from bnspark.llm.simhash import simhash_components
 from bnspark.llm.warc import round_trip
 
@@ -35,11 +37,23 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_document_fingerprints": op2_document_fingerprints,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_warc": op7_warc,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 # A-Z alone are lower-cased, so the letters are translated and the rest stays as it is.
