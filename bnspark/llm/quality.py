@@ -5,8 +5,8 @@ A linear model on statistics of the whole text is fitted to the non-negative unb
     prior * R_P(+1) + max(0, R_U(-1) - prior * R_P(-1))
 
 with the logistic loss: R_P are means over texts trusted to be good, R_U over unlabelled texts.  The class
-prior is the share of good ones among the labelled rows of the learning fold, the only use that is made of
-rows labelled bad.  What is fitted is small and bounded; each document is then scored where it lies.
+prior is the share of good ones among the labelled rows of the learning fold, less two standard errors,
+the only use that is made of rows labelled bad.  What is fitted is small and bounded; each document is then scored where it lies.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE = 8_000  # most positives, and most unlabelled texts, that are fitted on
-STEPS, RATE, RIDGE, SLACK = 600, 0.05, 1e-4, 0.0
+STEPS, RATE, RIDGE = 800, 0.05, 1e-5
 THRESHOLD = 0.3
 FOLDS = 5
 SHAPES = 14
@@ -94,7 +94,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Fitted:
         gu, gp = su / len(su), sp / len(sp)
         down = np.append(gu @ u - prior * (gp @ p), gu.sum() - prior * gp.sum())
         up = -prior * np.append(((1 - sp) / len(sp)) @ p, ((1 - sp) / len(sp)).sum())
-        grad = up + down if negative >= -SLACK else -down
+        grad = up + down if negative >= 0 else -down
         grad[:-1] += RIDGE * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = RATE * (1 - step / (STEPS + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -126,7 +126,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Fitted:
     known = labels.where(fold(F.col("doc_id")) != 0).where("doc_id is not null and quality is not null")
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     n, good = known.agg(F.count("*"), F.coalesce(F.sum(F.col("quality").cast("long")), F.lit(0))).first()
-    prior = min(max((good + 1) / (n + 2), 0.02), 0.98)
+    share = (good + 1) / (n + 2)
+    prior = min(max(share - 2 * (share * (1 - share) / (n + 2)) ** 0.5, 0.02), 0.98)  # its lower bound
     trusted = known.where("quality = 1").select("doc_id").orderBy(order, "doc_id").limit(sample)
     rest = docs.where(fold(F.col("doc_id")) != 0).select("doc_id").orderBy(order, "doc_id").limit(sample)
     return fit(_sampled(docs, trusted), _sampled(docs, rest), prior)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bnspark.llm import url_filter
 from bnspark.llm.common import read
 from bnspark.llm.exact_dedup import exact_duplicates
 from bnspark.llm.fingerprints import edited_fingerprints
@@ -26,6 +27,18 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+OP5_RULES = [
+    url_filter.split_rule(rule, verdict)
+    for rule, verdict in (
+        ("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"),
+    )
+]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.verdicts(read(spark, sf_dir, "pages"), OP5_RULES)
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_components(read(spark, sf_dir, "documents"), shingle=3)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -50,6 +63,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_document_fingerprints": op2_document_fingerprints,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_url_filter": op5_url_filter,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_warc": op7_warc,
     "op9_quality_classifier": op9_quality_classifier,
@@ -67,4 +81,48 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
-ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL}
+
+
+def _op5_sql(rounds: int = url_filter.ROUNDS) -> str:
+    """The rules and the rounds of propagation, written out."""
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in OP5_RULES)
+    d = url_filter.DAMPING
+    ctes = [
+        f"rules(of_host, of_path, said) AS (VALUES {rules})",
+        "u AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)",
+        f"p AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host,"
+        " regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u)",
+        "hit AS (SELECT page_id, host, path, arg_max(of_host || of_path, length(of_host || of_path)) AS rule,"
+        " arg_max(said, length(of_host || of_path)) AS said FROM p JOIN rules"
+        " ON host <> '' AND (host = of_host OR ends_with(host, '.' || of_host)) AND starts_with(path, of_path) GROUP BY ALL)",
+        "ruled AS (SELECT p.page_id, p.host, p.path, hit.rule, hit.said FROM p LEFT JOIN hit USING (page_id))",
+        "marks AS (SELECT host, count(*) AS pages, count(*) FILTER (said = 'block') AS bad, count(*) FILTER (said = 'allow') AS good"
+        " FROM ruled WHERE host <> '' GROUP BY host)",
+        f"seed0 AS (SELECT CASE WHEN bad >= {url_filter.MOSTLY} * pages THEN 'distrust' WHEN good > 0 THEN 'trust' END AS kind, host FROM marks)",
+        "seeds AS (SELECT kind, host, 1.0::DOUBLE / count(*) OVER (PARTITION BY kind) AS share FROM seed0 WHERE kind IS NOT NULL)",
+        "link0 AS (SELECT host AS src, translate(unnest(regexp_extract_all(coalesce(html, ''),"
+        f" '(?i)href\\s*=\\s*[\"'']?(?:https?:)?//([^/?#\"''\\s>]+)', 1)), '{url_filter.UPPER}', '{url_filter.LOWER}') AS dst FROM p)",
+        "link AS (SELECT src, dst, count(*) AS n FROM link0 WHERE src <> '' AND src <> dst GROUP BY ALL)",
+        "both0 AS (SELECT 'trust' AS kind, src AS host, dst, n FROM link UNION ALL SELECT 'distrust', dst, src, n FROM link)",
+        "edges AS (SELECT kind, host, dst, n / sum(n) OVER (PARTITION BY kind, host) AS w FROM both0)",
+        "r0 AS (SELECT kind, host, share AS score FROM seeds)",
+    ]
+    for i in range(1, rounds + 1):
+        ctes += [
+            f"g{i} AS MATERIALIZED (SELECT kind, dst AS host, {d} * sum(w * score) AS got FROM edges JOIN r{i - 1} USING (kind, host) GROUP BY ALL)",
+            f"m{i} AS (SELECT kind, sum(got) AS passed FROM g{i} GROUP BY kind)",
+            f"r{i} AS MATERIALIZED (SELECT kind, host, coalesce(got, 0) + coalesce(share * (1.0 - coalesce(passed, 0)), 0) AS score"
+            f" FROM g{i} FULL JOIN seeds USING (kind, host) LEFT JOIN m{i} USING (kind))",
+        ]
+    ctes += [
+        "size AS (SELECT kind, count(*) AS many FROM seeds GROUP BY kind)",
+        f"excess AS (SELECT host FROM r{rounds} JOIN size USING (kind) GROUP BY host"
+        f" HAVING sum(CASE kind WHEN 'trust' THEN -score * many ELSE score * many END) > {url_filter.THRESHOLD})",
+    ]
+    return (
+        "WITH " + ",\n".join(ctes) + "\nSELECT page_id, host, path, rule,"
+        " coalesce(said, CASE WHEN host IN (SELECT host FROM excess) THEN 'block' END, 'allow') AS verdict FROM ruled"
+    )
+
+
+ORACLES: dict[str, str] = {"op5_url_filter": _op5_sql(), "op4_exact_dedup": OP4_SQL}
