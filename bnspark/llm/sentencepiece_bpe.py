@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 NORMAL, BYTE = 1, 6
-MOST_WORDS, LONGEST_WORD, MOST_PAIRS = 100_000, 48, 500_000
+MOST_WORDS, LONGEST_WORD, MOST_PAIRS = 300_000, 48, 500_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -80,6 +80,7 @@ class Model:
         self.byte_ids = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, kinds, strict=True)) if k == BYTE}
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("pieces that go on past a space are not supported")
+        self.bytes = frozenset(self.byte_ids.values())
         self.text = [p.replace(SPACE, " ").encode() for p in self.pieces]
         for byte, i in self.byte_ids.items():
             self.text[i] = bytes([byte])
@@ -106,6 +107,7 @@ class Model:
         breaks = "" if any("\n" in p for p in self.ids) else "\n"
         # Nothing merges across the end of a word and the spaces after it, nor across a line feed.
         self.words = re.compile(rf" +[^ {breaks}]*|{breaks or '$'}|[^ {breaks}]+")
+        self.marks = {c: (self.ids[c], c.encode()) for c in ".,;:!?)\"'" if c in self.chars}
         # Words and what parts() gives for them, in two generations: the older is dropped as a whole.
         self.young: dict[str, tuple[str, bytes]] = {}
         self.old: dict[str, tuple[str, bytes]] = {}
@@ -140,7 +142,9 @@ class Model:
         return [ids[p] for p in part if p is not None]
 
     def fits(self, left: int, right: int) -> bool:
-        """Whether right may follow left: merging both anew leaves them as they are."""
+        """Whether right may follow left: merging both anew leaves them as they are.  Bytes merge with nothing."""
+        if left in self.bytes:
+            return True
         key = left << 32 | right
         known = self.pairs.get(key)
         if known is None:
@@ -200,6 +204,11 @@ class Model:
 
     def part(self, w: str) -> tuple[str, bytes]:
         got = self.old.get(w)
+        if got is None and len(w) > 2 and (mark := self.marks.get(w[-1])):
+            # The known pieces of all but the last character are right if that one fits behind them.
+            stem = self.young.get(w[:-1]) or self.old.get(w[:-1])
+            if stem and self.fits(int(stem[0].rpartition(",")[2]), mark[0]):
+                got = f"{stem[0]},{mark[0]}", stem[1] + mark[1]
         if got is None:
             ids = self.word(w.replace(" ", SPACE))
             got = ",".join(map(str, ids)), b"".join([self.text[i] for i in ids])
