@@ -11,6 +11,7 @@ from bnspark.llm import url_filter
 from bnspark.llm.common import read
 from bnspark.llm.exact_dedup import exact_duplicates
 from bnspark.llm.fingerprints import edited_fingerprints
+from bnspark.llm.licenses import license_scan
 from bnspark.llm.quality import quality_scores
 from bnspark.llm.sentencepiece_bpe import token_digests
 from bnspark.llm.simhash import simhash_components
@@ -23,6 +24,10 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(read(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_document_fingerprints": op2_document_fingerprints,
+    "op3_license_scan": op3_license_scan,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
