@@ -12,6 +12,7 @@ from bnspark.llm.common import read
 from bnspark.llm.exact_dedup import exact_duplicates
 from bnspark.llm.fingerprints import edited_fingerprints
 from bnspark.llm.licenses import license_scan
+from bnspark.llm.mixing import mixing_rates
 from bnspark.llm.quality import quality_scores
 from bnspark.llm.sentencepiece_bpe import token_digests
 from bnspark.llm.simhash import simhash_components
@@ -55,6 +56,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_rates(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op5_url_filter": op5_url_filter,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_warc": op7_warc,
+    "op8_source_mixing": op8_source_mixing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_sentencepiece": op10_sentencepiece,
 }
