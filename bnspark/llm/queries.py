@@ -12,6 +12,7 @@ from bnspark.llm.common import read
 from bnspark.llm.exact_dedup import exact_duplicates
 from bnspark.llm.fingerprints import edited_fingerprints
 from bnspark.llm.licenses import license_scan
+from bnspark.llm.line_dedup import line_report
 from bnspark.llm.mixing import mixing_rates
 from bnspark.llm.quality import quality_scores
 from bnspark.llm.sentencepiece_bpe import token_digests
@@ -21,6 +22,10 @@ from bnspark.llm.warc import round_trip
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(read(spark, sf_dir, "documents"))
+
+
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(read(spark, sf_dir, "documents"))
 
@@ -71,6 +76,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_document_fingerprints": op2_document_fingerprints,
     "op3_license_scan": op3_license_scan,
     "op4_exact_dedup": op4_exact_dedup,
