@@ -2,11 +2,12 @@
 
 A sparse multinomial logistic regression, fitted to a bounded sample of the labelled table, gives each
 document a posterior over the domains `good`, `poor` (quality 0) and `toxic` (toxic 1).  Its words count
-in each domain by that posterior.  Rates r_d >= 0, copies of a document in the mixture, minimise
+in each domain by that posterior.  Rates r_d >= 0, the copies of a document in the mixture, minimise
 
     (A r - t)' M (A r - t),   (A r)_k = sum_d r_d n_d p_dk / N,   M = (sum_d n_d p_d p_d' / N)^-1
 
-by projected gradient from r = 1, t being the target share of each domain's words.  A step changes a
+by projected gradient from r = 1, t being the target share of each domain's words.  Rates are also held
+below MOST_RATE, so that a domain which hardly any document serves does not repeat those without end.  A step changes a
 rate by a product of its posterior and K numbers, the same for all, so a rate is a function of the
 posterior and the steps so far: each round is one pass that sums K numbers and nothing else moves.  With
 this M a step without any rate at zero is exact, so a few rounds do.
@@ -30,7 +31,7 @@ TARGETS = (0.90, 0.06, 0.04)
 SAMPLE = 4_000  # labelled documents, at most, that are fitted on
 BUCKETS, ENDINGS, SHARES = 1 << 16, 1 << 12, 16
 VOCABULARY, LEAST_DOCS = 20_000, 5
-ROUNDS, CLOSE = 30, 1e-6
+ROUNDS, CLOSE, MOST_RATE = 30, 1e-6, 8.0
 
 
 def words(text: Column) -> Column:
@@ -109,7 +110,7 @@ def rate_of(p: Column, steps: Sequence[Sequence[float]]) -> Column:
         return F.lit(1.0)
     given = F.transform(F.split(F.lit(";".join(",".join(map(repr, s)) for s in steps)), ";"), lambda s: F.split(s, ",").cast("array<double>"))
     move = lambda g: sum((p[k] * g[k] for k in range(1, len(steps[0]))), p[0] * g[0])
-    return F.aggregate(given, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - move(g)))
+    return F.aggregate(given, F.lit(1.0), lambda r, g: F.least(F.lit(MOST_RATE), F.greatest(F.lit(0.0), r - move(g))))
 
 
 def fit_rates(members: DataFrame, targets: Sequence[float], rounds: int = ROUNDS) -> list[list[float]]:

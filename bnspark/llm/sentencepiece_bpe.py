@@ -280,21 +280,32 @@ def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     )
 
 
-def encode_column(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """docs with the ids of each text in a new column `out` (array<int>) that replaces one of that name;
-    null texts count as empty."""
-    from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
-
-    kept = [c for c in docs.columns if c != out]
+def encoded(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """docs without its text but with its other columns, and ids (array<int>), n_tokens and decoded_sha256
+    of each text, which replace columns of those names; null texts count as empty."""
+    from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+
+    added = [("ids", ArrayType(IntegerType())), ("n_tokens", LongType()), ("decoded_sha256", StringType())]
+    kept = [c for c in docs.columns if c not in ("ids", "n_tokens", "decoded_sha256")]
+    at = kept.index(text_col)
     model = _model(docs.sparkSession.sparkContext, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(model())
         for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            ids = pa.array([coder.encode(v.as_py() or "") for v in batch.column(at)], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, out])
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                ids, decoded = [], []
+                for value in part.column(at):
+                    parts = coder.parts(value.as_py() or "")
+                    ids.append([int(i) for i in ",".join([p[0] for p in parts]).split(",")] if parts else [])
+                    decoded.append(hashlib.sha256(b"".join([p[1] for p in parts])[1:]).hexdigest())
+                rest = [c for i, c in enumerate(part.columns) if i != at]
+                lists, counts = pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [*rest, lists, counts, pa.array(decoded)], names=[*[c for c in kept if c != text_col], *[n for n, _ in added]]
+                )
 
     rows = docs.select(*kept)
-    schema = StructType([*rows.schema.fields, StructField(out, ArrayType(IntegerType()))])
+    schema = StructType([*[f for f in rows.schema.fields if f.name != text_col], *[StructField(n, t) for n, t in added]])
     return rows.mapInArrow(run, schema)
