@@ -29,48 +29,63 @@ from bnspark.llm.common import drop, materialize
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = (0.90, 0.06, 0.04)
 SAMPLE = 4_000  # labelled documents, at most, that are fitted on
-BUCKETS, ENDINGS, SHARES = 1 << 16, 1 << 12, 16
 VOCABULARY, LEAST_DOCS = 20_000, 5
 ROUNDS, CLOSE, MOST_RATE = 30, 1e-6, 8.0
+SHARES = 16
+PARTING, MARKS = "\n\r\t.,", "!?%#*&$|"
+SHARE = "\x01"  # starts the features that are no words
 
 
 def words(text: Column) -> Column:
-    """Words between white space, lower-cased; null has none."""
-    flat = F.translate(F.lower(F.coalesce(text, F.lit(""))), "\n\t\r", "   ")
-    return F.filter(F.split(flat, " "), lambda w: w != "")
-
-
-def feature_ids(tokens: Column) -> Column:
-    """Hashed features of whole texts, with repeats: five-letter beginnings and two-letter endings of
-    words, and the share of different beginnings in steps."""
-    start = F.transform(tokens, lambda w: F.pmod(F.hash(F.left(w, F.lit(5))), F.lit(BUCKETS)))
-    end = F.transform(tokens, lambda w: F.pmod(F.hash(F.right(w, F.lit(2))), F.lit(ENDINGS)) + BUCKETS)
-    share = F.floor(F.size(F.array_distinct(start)) / F.greatest(F.size(tokens), F.lit(1)) * (SHARES - 1)).cast("int")
-    return F.concat(start, end, F.array(share + BUCKETS + ENDINGS))
+    """Words as they are written, parted by white space, full stops and commas; each of MARKS is a word.
+    Null has none.  Plain replacements and one split by a blank: no step works row by row on words."""
+    flat = F.coalesce(text, F.lit(""))
+    for c in PARTING:
+        flat = F.replace(flat, F.lit(c), F.lit(" "))
+    for c in MARKS:
+        flat = F.replace(flat, F.lit(c), F.lit(f" {c} "))
+    return F.array_remove(F.split(flat, " "), "")
+
+
+def with_features(rows: DataFrame) -> DataFrame:
+    """rows (text and others) with n_tokens and features, the different words of the whole text and the
+    share of different ones among all in steps, in place of the text."""
+    rest = [c for c in rows.columns if c != "text"]
+    split = rows.select(*rest, words(F.col("text")).alias("_w"))
+    split = split.select(*rest, F.size("_w").cast("long").alias("n_tokens"), F.array_distinct("_w").alias("_d"))
+    share = F.floor(F.size("_d") / F.greatest(F.col("n_tokens"), F.lit(1)) * (SHARES - 1))
+    return split.select(*rest, "n_tokens", F.array_append("_d", F.concat(F.lit(SHARE), share)).alias("features"))
 
 
 @dataclass(frozen=True)
 class Posterior:
     """Weights of the features that have any, domain after domain, and the bias of each domain."""
 
-    ids: list[int]
+    features: list[str]
     weights: list[float]
     bias: list[float]
 
-    def of(self, ids: Column) -> Column:
-        """Array of the domains' posteriors."""
-        n, k = len(self.ids), len(self.bias)
+    def of(self, rows: DataFrame) -> DataFrame:
+        """rows with p, the array of the domains' posteriors, in place of features."""
+        rest = [c for c in rows.columns if c != "features"]
+        n, k = len(self.features), len(self.bias)
         bias = F.array(*[F.lit(b) for b in self.bias])
-        if n:
-            literal = lambda xs, kind: F.split(F.lit(",".join(map(str, xs))), ",").cast(f"array<{kind}>")
-            known, weights = literal(self.ids, "int"), literal(self.weights, "double")
-            at = F.transform(F.array_intersect(ids, known), lambda i: F.array_position(known, i).cast("int"))
-            bias = F.transform(
+        if not n:
+            scored = rows.select(*rest, bias.alias("_z"))
+        else:
+            known = F.split(F.lit("\n".join(self.features)), "\n")
+            weights = F.split(F.lit(",".join(map(str, self.weights))), ",").cast("array<double>")
+            hits = rows.select(*rest, F.array_intersect("features", known).alias("_h"))
+            at = F.transform("_h", lambda w: F.array_position(known, w).cast("int"))
+            hits = hits.select(*rest, at.alias("_at"))
+            z = F.transform(
                 F.sequence(F.lit(0), F.lit(k - 1)),
-                lambda j: F.aggregate(at, F.element_at(bias, j + 1), lambda a, i: a + F.element_at(weights, j * n + i)),
+                lambda j: F.aggregate("_at", F.element_at(bias, j + 1), lambda a, i: a + F.element_at(weights, j * n + i)),
             )
-        shifted = F.transform(bias, lambda z: F.exp(z - F.array_max(bias)))
-        return F.transform(shifted, lambda e: e / F.aggregate(shifted, F.lit(0.0), lambda a, x: a + x))
+            scored = hits.select(*rest, z.alias("_z"))
+        scored = scored.select(*rest, F.transform("_z", lambda z: F.exp(z - F.array_max("_z"))).alias("_e"))
+        total = F.aggregate("_e", F.lit(0.0), lambda a, x: a + x)
+        return scored.select(*rest, F.transform("_e", lambda e: e / total).alias("p"))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Posterior:
@@ -80,17 +95,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Posterior
     named = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id")
     label = F.when(F.max("toxic") == 1, 2.0).when(F.min("quality") == 0, 1.0).otherwise(0.0)
     some = materialize(named.agg(label.alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "labels")
-    rows = docs.join(F.broadcast(some), "doc_id")  # at most `sample` labels
-    rows = rows.select("label", F.array_distinct(feature_ids(words(F.col("text")))).cast("array<string>").alias("ids"))
-    rows = materialize(rows, "fit")
+    rows = docs.join(F.broadcast(some), "doc_id").select("label", "text")  # at most `sample` labels
+    rows = materialize(with_features(rows), "fit")
     seen = {int(r[0]): r[1] for r in rows.groupBy("label").count().collect()}
     if len(seen) < 2:
         drop(rows)
         known = [0.0 if k in seen or not seen else -30.0 for k in range(len(DOMAINS))]
         return Posterior([], [], known)
-    counted = CountVectorizer(inputCol="ids", outputCol="features", minDF=LEAST_DOCS, vocabSize=VOCABULARY, binary=True).fit(rows)
-    fitted = LogisticRegression(family="multinomial", regParam=2e-3, elasticNetParam=1.0, maxIter=80).fit(
-        counted.transform(rows).select("label", "features")
+    counted = CountVectorizer(inputCol="features", outputCol="x", minDF=LEAST_DOCS, vocabSize=VOCABULARY, binary=True).fit(rows)
+    fitted = LogisticRegression(featuresCol="x", family="multinomial", regParam=2e-3, elasticNetParam=1.0, maxIter=80).fit(
+        counted.transform(rows).select("label", "x")
     )
     drop(rows)
     drop(some)
@@ -100,8 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Posterior
     w = np.vstack([w, np.zeros((k - len(w), w.shape[1]))])
     bias = [float(bias[j]) if j < len(bias) and seen.get(j) else -30.0 for j in range(k)]
     used = np.flatnonzero(np.abs(w).max(0) > 0)
-    ids = [int(counted.vocabulary[i]) for i in used]
-    return Posterior(ids, [float(x) for x in w[:, used].ravel()], bias)
+    return Posterior([counted.vocabulary[i] for i in used], [float(x) for x in w[:, used].ravel()], bias)
 
 
 def rate_of(p: Column, steps: Sequence[Sequence[float]]) -> Column:
@@ -137,9 +150,7 @@ def fit_rates(members: DataFrame, targets: Sequence[float], rounds: int = ROUNDS
 
 
 def _members(docs: DataFrame, posterior: Posterior) -> DataFrame:
-    tokens = docs.select("doc_id", words(F.col("text")).alias("w"))
-    ids = tokens.select("doc_id", F.size("w").cast("long").alias("n_tokens"), feature_ids(F.col("w")).alias("ids"))
-    return ids.select("doc_id", "n_tokens", posterior.of(F.col("ids")).alias("p"))
+    return posterior.of(with_features(docs.select("doc_id", "text")))
 
 
 def mixing_rates(
@@ -167,9 +178,9 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: Sequence[float] = TARGETS
     members = materialize(_members(rows, posterior), "members")
     steps = fit_rates(members, targets)
     drop(members)
-    own = docs.withColumn("_w", words(F.col("text"))).withColumn("_f", feature_ids(F.col("_w"))).drop("_w")
-    own = own.withColumn("_p", posterior.of(F.col("_f"))).drop("_f").withColumn("_r", rate_of(F.col("_p"), steps))
-    part = F.pmod(F.xxhash64(F.lit(8), F.col("doc_id"), F.col("text")), F.lit(1 << 30)) / float(1 << 30)
+    own = posterior.of(with_features(docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").cast("string").alias("text"))))
+    own = own.select("_row", rate_of(F.col("p"), steps).alias("_r"))
+    part = F.pmod(F.xxhash64(F.lit(8), F.col("_row.doc_id"), F.col("_row.text")), F.lit(1 << 30)) / float(1 << 30)
     times = F.floor(F.col("_r") + part).cast("int")
-    copies = own.withColumn("_n", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))))
-    return copies.select(*docs.columns)
+    copies = own.select("_row", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))))
+    return copies.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
