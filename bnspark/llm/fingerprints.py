@@ -22,7 +22,7 @@ from bnspark.llm.common import attach, drop, materialize, maybe_broadcast
 SPACE = r"\t\n\x0B\f\r\x{1C}-\x{1F}\x{85}\x{1680}\x{2028}\x{2029}"
 FOLD = rf"[{SPACE}][ {SPACE}]*| [ {SPACE}]+"
 ROWS_A_BUCKET = 512
-MOST_BUCKETS = 65_536
+MOST_BUCKETS, CLOSER = 32_768, 8
 
 
 def canonical(text: Column) -> Column:
@@ -54,12 +54,14 @@ def with_next(rows: DataFrame, id_col: str, carried: list[str]) -> DataFrame:
     with a null id have no place in the order and get nulls; rows that repeat an id follow each
     other by the carried columns."""
     ids = rows.select(id_col).where(F.col(id_col).isNotNull())
-    n = ids.count()
+    n, least = ids.agg(F.count("*"), F.min(id_col)).first()
     if not n:
         return rows.select("*", *[F.lit(None).cast(rows.schema[c].dataType).alias("next_" + c) for c in carried])
-    parts = min(max(-(-n // ROWS_A_BUCKET), 1), MOST_BUCKETS)
-    cut = ids.repartitionByRange(parts, id_col).withColumn("part", F.spark_partition_id())
-    bounds = sorted(r[0] for r in cut.groupBy("part").agg(F.min(id_col)).collect())  # at most MOST_BUCKETS rows
+    parts = min(max(n // ROWS_A_BUCKET, 1), MOST_BUCKETS)
+    # Ids chosen by a hash, some CLOSER in each range, of which every CLOSER-th is a bound.
+    rate = F.lit(max(n // (parts * CLOSER), 1))
+    chosen = ids.where(F.pmod(F.xxhash64(F.lit(5), id_col), rate) == 0).distinct().collect()  # some MOST_BUCKETS * CLOSER
+    bounds = sorted({least, *sorted(r[0] for r in chosen)[CLOSER - 1 :: CLOSER]})
     last = len(bounds) - 1
     known = rows.where(F.col(id_col).isNotNull()).withColumn("_b", _bucket(F.col(id_col), bounds))
     starts = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
@@ -91,13 +93,11 @@ def clashes(docs: DataFrame, prints: DataFrame, text_col: str, bits: int) -> Dat
     return out
 
 
-def _named(rows: DataFrame, form: str, out: str, clashed: DataFrame | None, bits: int) -> DataFrame:
-    rows = rows.withColumn(out, wide_hash(F.col(form), bits))
-    if clashed is None:
-        return rows
-    hit = clashed.select(F.col("fp").alias(out), F.lit(True).alias("_hit"))
-    suffix = F.when(F.col("_hit"), F.concat(F.lit("-"), F.sha2(form, 256))).otherwise(F.lit(""))
-    return rows.join(maybe_broadcast(hit), out, "left").withColumn(out, F.concat(out, suffix)).drop("_hit")
+def _suffixed(rows: DataFrame, name: str, own: str, clashed: DataFrame) -> DataFrame:
+    """rows with the SHA-256 in `own` behind the digests that different forms share."""
+    hit = clashed.select(F.col("fp").alias(name), F.lit(True).alias("_hit"))
+    suffix = F.when(F.col("_hit"), F.concat(F.lit("-"), F.col(own))).otherwise(F.lit(""))
+    return rows.join(maybe_broadcast(hit), name, "left").withColumn(name, F.concat(name, suffix)).drop("_hit")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 128) -> DataFrame:
@@ -115,27 +115,30 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         rows = docs.select(
             F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
         )
-        ahead = with_next(rows, "doc_id", ["text"]).withColumn("next", F.coalesce("next_text", F.lit("")))
+        hashed = rows.withColumn("fp", wide_hash(canonical(F.col("text")), bits))
+        ahead = with_next(hashed, "doc_id", ["text", "fp"]).withColumn("next", F.coalesce("next_text", F.lit("")))
         ahead = ahead.withColumn("n_chars", F.length("text").cast("long"))
         half = F.floor(F.col("n_chars") / 2).cast("int")
         ahead = ahead.withColumn(
             "edited", F.concat(F.left("text", F.col("n_chars").cast("int") - half), F.left("next", half))
         )
         forms = ahead.select(
-            "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-            canonical(F.col("text")).alias("form"), canonical(F.col("edited")).alias("edited_form"), "next",
+            "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "text", "fp", "next_fp", "next", "edited",
+            canonical(F.col("edited")).alias("edited_form"),
         )
-        forms = _named(_named(forms, "form", "fp", clashed, bits), "edited_form", "edited_fingerprint", clashed, bits)
-        alike = lambda other: (F.col("form") == other).cast("double")
-        # The next text's form costs a third pass, which a length check of the raw texts can't replace.
-        return materialize(
-            forms.select(
-                "doc_id", "n_chars", "edited_sha256", "fp", "edited_fingerprint",
-                alike(F.col("edited_form")).alias("near_edited"),
-                alike(canonical(F.col("next"))).alias("near_next"),
-            ),
-            "prints",
+        forms = forms.withColumn("edited_fp", wide_hash(F.col("edited_form"), bits))
+        # Bytes are compared where the hashes agree; a row without a next document is held against "".
+        own = canonical(F.col("text"))
+        near_edited = F.when(F.col("fp") == F.col("edited_fp"), own == F.col("edited_form")).otherwise(F.lit(False))
+        near_next = F.when(F.coalesce(F.col("fp") == F.col("next_fp"), F.lit(True)), own == canonical(F.col("next"))).otherwise(F.lit(False))
+        forms = forms.select(
+            "doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", near_edited.cast("double").alias("near_edited"),
+            near_next.cast("double").alias("near_next"),
+            *([F.sha2(own, 256).alias("own"), F.sha2("edited_form", 256).alias("edited_own")] if clashed is not None else []),
         )
+        if clashed is not None:
+            forms = _suffixed(_suffixed(forms, "fp", "own", clashed), "edited_fp", "edited_own", clashed).drop("own", "edited_own")
+        return materialize(forms, "prints")
 
     out = prints(None)
     clashed = clashes(docs, out, text_col, bits)
@@ -147,6 +150,6 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     groups = groups.where("group_size > 1").withColumn("_n", F.col("group_size"))
     found = attach(out, materialize(groups, "groups"), "fp", "_n", out.count())
     return found.select(
-        "doc_id", "n_chars", "edited_sha256", F.col("fp").alias("fingerprint"), "edited_fingerprint", "near_edited",
+        "doc_id", "n_chars", "edited_sha256", F.col("fp").alias("fingerprint"), F.col("edited_fp").alias("edited_fingerprint"), "near_edited",
         "near_next", F.coalesce("group_id", "doc_id").alias("group_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"),
     )
