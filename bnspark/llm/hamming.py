@@ -13,6 +13,7 @@ from bnspark.llm.common import drop, materialize
 
 # A key with more distinct fingerprints than this is compared in pairs of blocks of this size.
 BLOCK = 20_000
+KEYS_A_BUCKET = 500
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
@@ -102,14 +103,30 @@ def _links(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return find
 
 
+def _big_keys(keyed: DataFrame, block: int) -> DataFrame | None:
+    """Keys with more than `block` fingerprints, with their count; None if there is none.  Counts of
+    buckets of keys, which leave each task as a few rows, tell where there can be one at all."""
+    total = keyed.count()
+    bucket = F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(max(4096, -(-total // KEYS_A_BUCKET))))
+    full = materialize(keyed.groupBy(bucket.alias("bucket")).count().where(F.col("count") > block).select("bucket"), "full")
+    big = None
+    if not full.isEmpty():
+        some = keyed.withColumn("bucket", bucket).join(full, "bucket", "left_semi")
+        big = materialize(some.groupBy("key").count().where(F.col("count") > block), "big")
+        if big.isEmpty():
+            drop(big)
+            big = None
+    drop(full)
+    return big
+
+
 def hamming_links(keyed: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) between fingerprints at most `most` bits apart that share a key: of each key a
     spanning forest, so that no link between groups is lost and no group is written as all its
     pairs.  keyed has (key long, fp long) without repeats.  Keys with more than `block`
     fingerprints are spread over pairs of blocks; each pair of blocks is a task's unit."""
-    big = materialize(keyed.groupBy("key").count().where(F.col("count") > block), "big")
-    if big.isEmpty():
-        drop(big)
+    big = _big_keys(keyed, block)
+    if big is None:
         parts = keyed.withColumn("part", F.lit(0))
     else:
         n = F.ceil(F.col("count") / block).cast("int")

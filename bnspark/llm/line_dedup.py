@@ -1,7 +1,8 @@
 """Fuzzy deduplication of lines.
 
 Lines are normalised (lower case, single spaces) and equal ones are brought together by a 128-bit hash,
-with their first occurrence.  Different lines get a 64-bit SimHash of their words.  Fingerprints at most
+with their first occurrence.  Different lines get a 64-bit SimHash of their different
+words.  Fingerprints at most
 three bits apart agree in at least two of five blocks, so each pair of blocks is a key; what shares a
 key is compared, and connected fingerprints bound the candidates.  The lines of such a group are
 compared by their edit similarity where their fingerprints are close.  Of each group that links of at
@@ -26,32 +27,53 @@ MOST_BITS = 3
 SIMILARITY = 0.8
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # (shift, width)
 LINES_A_BLOCK = 512
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+NO_ID = -(1 << 63)  # stands for a null doc_id in keys
+# What white space there is beside single spaces between words, in UTF-8: if a text holds none of it, its
+# lines are normal as they are.
+ODD_SPACE = [
+    b"  ", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0",
+    b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80",
+]
+LOW44 = np.uint64((1 << 44) - 1)
+EACH_BYTE = np.uint64(0x0101010101010101)
+KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def normalised(line: str) -> bytes:
     return " ".join(line.lower().split()).encode("utf-8", "replace")
 
 
+def normal_lines(text: str) -> list[bytes]:
+    """normalised() of each line of a text; blank lines are empty."""
+    low = text.lower()
+    data = low.encode("utf-8", "replace")
+    if data[:1] == b" " or data[-1:] == b" " or any(x in data for x in ODD_SPACE):
+        return [" ".join(x.split()).encode("utf-8", "replace") for x in text.lower().split("\n")]
+    return data.split(b"\n")
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of data, which single spaces or line feeds part, and the words' starts."""
+    """Hashes of the words of data, which single spaces or line feeds part, and the words' starts: of
+    the first and the last eight bytes of a word and its length."""
+    padded = b"\0" * 8 + data + b"\0" * 8
     raw = np.frombuffer(data, np.uint8)
     ends = np.append(np.flatnonzero((raw == 32) | (raw == 10)), len(raw))
     starts = np.append(0, ends[:-1] + 1)
-    # Of each word the sum over its bytes of byte * M^place, by sums of eight bytes at a time.
-    place = np.arange(len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))
-    powers = np.cumprod(np.full(int(place.max(initial=0)) + 1, MULTIPLIER, np.uint64))
-    weighed = (raw.astype(np.uint64) + np.uint64(1)) * powers[place]
-    weighed[ends[:-1]] = 0
-    h = np.add.reduceat(weighed, starts)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
-    return h, starts
+    size = ends - starts
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    head = eight[starts + 8] & KEEP[np.minimum(size, 8)]
+    tail = np.where(size > 8, eight[ends], np.uint64(0))
+    return _mixed(head * np.uint64(0x9E3779B97F4A7C15) + tail + size.astype(np.uint64)), starts
 
 
 def simhashes(lines: list[bytes]) -> np.ndarray:
-    """SimHash of the words of each line, each word as often as it occurs; no line is blank."""
+    """SimHash of the different words of each line; no line is blank."""
     out = []
     at = 0
     while at < len(lines):  # stretches of about a megabyte
@@ -59,14 +81,26 @@ def simhashes(lines: list[bytes]) -> np.ndarray:
         while stop < len(lines) and size < 1 << 20:
             size += len(lines[stop])
             stop += 1
-        data = b"\n".join(lines[at:stop])
-        h, starts = word_hashes(data)
+        h, starts = word_hashes(b"\n".join(lines[at:stop]))
         firsts = np.append(0, np.cumsum([len(x) + 1 for x in lines[at : stop - 1]])).astype(np.int64)
-        of = np.searchsorted(starts, firsts)
-        bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts = np.add.reduceat(bits, of, axis=0, dtype=np.int32)
-        words = np.diff(np.append(of, len(h)))
-        out.append(np.packbits(counts * 2 > words[:, None], axis=1, bitorder="little").view("<u8").ravel())
+        of = np.zeros(len(h), np.uint64)
+        of[np.searchsorted(starts, firsts)[1:]] = 1
+        each = np.sort(np.cumsum(of, dtype=np.uint64) << np.uint64(44) | (h & LOW44))  # line after line
+        each = each[np.append(True, each[1:] != each[:-1])]
+        line = each >> np.uint64(44)
+        g = _mixed((each & LOW44) + np.uint64(0x9E3779B97F4A7C15))
+        # Eight sums of bytes in each of eight words: pieces of at most 255 words don't overflow.
+        first = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+        words = np.diff(np.append(first, len(g)))
+        n = -(-words // 255)
+        of_line = np.append(0, np.cumsum(n)[:-1])
+        piece = np.repeat(first, n) + 255 * (np.arange(n.sum()) - np.repeat(of_line, n))
+        counts = np.empty((len(first), 8, 8), np.int64)  # line, byte, bit
+        for bit in range(8):
+            sums = np.add.reduceat((g >> np.uint64(bit)) & EACH_BYTE, piece)
+            counts[:, :, bit] = np.add.reduceat(sums.view(np.uint8).reshape(-1, 8), of_line, axis=0, dtype=np.int64)
+        bits = counts.reshape(-1, 64) * 2 > words[:, None]
+        out.append(np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel())
         at = stop
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
@@ -128,7 +162,7 @@ def alike(a: str, b: str, least: float = SIMILARITY) -> bool:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc", "doc_id", "pos", "id", "fp"]
+    names = ["doc_id", "doc", "pos", "id", "fp"]
     for batch in batches:
         doc, pos, lines = [], [], []
 
@@ -136,16 +170,13 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of = pa.array(doc, pa.int64())
             fp = simhashes(lines).view(np.int64)
             cols = [batch.column(0).take(of), batch.column(1).take(of), pa.array(pos, pa.int32())]
-            return pa.RecordBatch.from_arrays(
-                [*cols, pa.array([xxh3_128_digest(x) for x in lines], pa.binary()), pa.array(fp)], names=names
-            )
+            return pa.RecordBatch.from_arrays([*cols, pa.array(list(map(xxh3_128_digest, lines)), pa.binary()), pa.array(fp)], names=names)
 
         for i, text in enumerate(batch.column(2)):
-            for p, line in enumerate((text.as_py() or "").split("\n")):
-                if norm := normalised(line):
-                    doc.append(i)
-                    pos.append(p)
-                    lines.append(norm)
+            found = [(p, line) for p, line in enumerate(normal_lines(text.as_py() or "")) if line]
+            doc += [i] * len(found)
+            pos += [p for p, _ in found]
+            lines += [line for _, line in found]
             if len(lines) > 20_000:
                 yield out()
                 doc.clear(), pos.clear(), lines.clear()
@@ -192,9 +223,10 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def kept_lines(docs: DataFrame, block: int = BLOCK, lines_a_block: int = LINES_A_BLOCK) -> DataFrame:
-    """docs (doc, doc_id, text) to (doc, kept): of each document the positions of the lines that stay."""
-    lines = docs.select("doc", "doc_id", "text").mapInArrow(_lines, "doc long, doc_id long, pos int, id binary, fp long")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc", "pos")  # null ids come last
+    """docs (none, doc_id, doc, text) to (doc_id, doc, kept): of each document the positions of the lines
+    that stay; doc is a hash that together with doc_id tells documents apart."""
+    lines = docs.select("doc_id", "doc", "text").mapInArrow(_lines, "doc_id long, doc long, pos int, id binary, fp long")
+    place = F.struct((F.col("doc_id") == NO_ID).alias("none"), "doc_id", "doc", "pos")  # null ids come last
     groups = materialize(lines.groupBy("id").agg(F.min(place).alias("first"), F.min("fp").alias("fp")), "groups")
     nodes = groups.groupBy("fp").agg(F.count("*").alias("ids"))
     keyed = nodes.select(F.explode(block_keys(F.col("fp"))).alias("key"), "fp")
@@ -208,10 +240,10 @@ def kept_lines(docs: DataFrame, block: int = BLOCK, lines_a_block: int = LINES_A
     sizes = materialize(cand.groupBy("comp").agg(F.count("*").alias("members")).where("members > 1"), "sizes")
     drop(inside)
     item = F.struct("comp", "members", "id", "fp", F.col("first.pos").alias("pos"))
-    wanted = cand.join(maybe_broadcast(sizes), "comp").groupBy(F.col("first.doc").alias("doc")).agg(F.collect_list(item).alias("wanted"))
+    wanted = cand.join(maybe_broadcast(sizes), "comp").groupBy("first.doc_id", "first.doc").agg(F.collect_list(item).alias("wanted"))
     wanted = materialize(wanted, "wanted")
     # A document that repeats gives its lines twice, which links them to themselves alone.
-    holders = docs.select("doc", "text").join(maybe_broadcast(wanted, 50_000), "doc")
+    holders = docs.select("doc_id", "doc", "text").join(maybe_broadcast(wanted, 50_000), ["doc_id", "doc"])
     texts = holders.select("text", "wanted").mapInArrow(_texts, "comp long, members long, id binary, fp long, line string")
     n = F.ceil(F.col("members") / lines_a_block).cast("int")
     mine = F.pmod(F.xxhash64("id"), n).cast("int")
@@ -223,8 +255,8 @@ def kept_lines(docs: DataFrame, block: int = BLOCK, lines_a_block: int = LINES_A
     joined = cand.join(maybe_broadcast(final), "id")
     ones = joined.groupBy("component").agg(F.min("first").alias("first")).select("first")
     rest = groups.join(maybe_broadcast(final.select("id")), "id", "left_anti").select("first")
-    firsts = rest.unionByName(ones).select("first.doc", "first.pos")
-    out = materialize(firsts.groupBy("doc").agg(F.array_sort(F.collect_list("pos")).alias("kept")), "kept")
+    firsts = rest.unionByName(ones).select("first.doc_id", "first.doc", "first.pos")
+    out = materialize(firsts.groupBy("doc_id", "doc").agg(F.array_sort(F.collect_list("pos")).alias("kept")), "kept")
     for old in (groups, cand, sizes, wanted, final):
         drop(old)
     return out
@@ -237,7 +269,7 @@ def _apply(at: int, kept_at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
             for text, kept in zip(batch.column(at), batch.column(kept_at), strict=True):
                 all_lines = (text.as_py() or "").split("\n")
                 stay = set(kept.as_py() or ())
-                gone = [p for p, line in enumerate(all_lines) if p not in stay and normalised(line)]
+                gone = [p for p, line in enumerate(all_lines) if p not in stay and not (not line or line.isspace())]
                 lost = set(gone)
                 new = "\n".join([x for p, x in enumerate(all_lines) if p not in lost]) if gone else text.as_py()
                 texts.append(new)
@@ -260,15 +292,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     The first occurrence by doc_id, then position, stays.  Blank lines always stay and belong to no group.
     Null texts stay null and have no lines.  Rows equal in doc_id and text are one document: they come
     out equal.  Rows with a null doc_id come last in the order of occurrences.  A document may come out
-    empty.  An empty table gives no rows; columns of docs named like the helpers, _doc, _kept, _text,
-    _n_lines and _dropped, are not allowed."""
-    clash = {"_doc", "_kept", "_text", "_n_lines", "_dropped"} & set(docs.columns)
+    empty.  An empty table gives no rows; columns of docs named like the helpers, _id, _doc, _kept,
+    _text, _n_lines and _dropped, are not allowed."""
+    clash = {"_id", "_doc", "_kept", "_text", "_n_lines", "_dropped"} & set(docs.columns)
     if clash:
         raise ValueError(f"columns with names of helpers: {sorted(clash)}")
-    doc = F.xxhash64(F.col(id_col).cast("long"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    rows = docs.withColumn("_doc", doc)
-    kept = kept_lines(rows.select(F.col("_doc").alias("doc"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
-    both = rows.join(kept.select(F.col("doc").alias("_doc"), F.col("kept").alias("_kept")), "_doc", "left")
+    known, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    rows = docs.withColumn("_id", F.coalesce(known, F.lit(NO_ID))).withColumn("_doc", F.xxhash64(known.isNull(), text))
+    kept = kept_lines(rows.select(F.col("_id").alias("doc_id"), F.col("_doc").alias("doc"), text.alias("text")))
+    both = rows.join(kept.select(F.col("doc_id").alias("_id"), F.col("doc").alias("_doc"), F.col("kept").alias("_kept")), ["_id", "_doc"], "left")
     names = both.columns
     fields = [f for f in both.schema.fields if f.name not in (text_col, "_kept")]
     from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
