@@ -52,6 +52,14 @@ def drop(df: DataFrame | None) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a narrow table for broadcast if a count shows at most limit rows; else leave it to a
     shuffled join.  df should be cheap to count (a materialized table)."""

@@ -11,13 +11,14 @@ least SIMILARITY connect the first occurrence stays.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 from xxhash import xxh3_128_digest
 
 from bnspark.llm.common import connected_components, drop, materialize, maybe_broadcast
@@ -26,7 +27,7 @@ from bnspark.llm.hamming import BLOCK, hamming_links, popcount, runs, starts_of
 MOST_BITS = 3
 SIMILARITY = 0.8
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # (shift, width)
-LINES_A_BLOCK = 512
+LINES_A_BLOCK = 200
 NO_ID = -(1 << 63)  # stands for a null doc_id in keys
 # What white space there is beside single spaces between words, in UTF-8: if a text holds none of it, its
 # lines are normal as they are.
@@ -262,61 +263,58 @@ def kept_lines(docs: DataFrame, block: int = BLOCK, lines_a_block: int = LINES_A
     return out
 
 
-def _apply(at: int, kept_at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, lines, dropped = [], [], []
-            for text, kept in zip(batch.column(at), batch.column(kept_at), strict=True):
-                all_lines = (text.as_py() or "").split("\n")
-                stay = set(kept.as_py() or ())
-                gone = [p for p, line in enumerate(all_lines) if p not in stay and not (not line or line.isspace())]
+def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["row", "text", "n_lines", "dropped"]
+    for batch in batches:
+        texts, lines, dropped = [], [], []
+        for value, kept in zip(batch.column(1), batch.column(2), strict=True):
+            text = value.as_py()
+            all_lines = (text or "").split("\n")
+            stay = set(kept.as_py() or ())
+            gone = [p for p, line in enumerate(all_lines) if p not in stay and line and not line.isspace()]
+            if gone:
                 lost = set(gone)
-                new = "\n".join([x for p, x in enumerate(all_lines) if p not in lost]) if gone else text.as_py()
-                texts.append(new)
-                lines.append(len(all_lines) if text.as_py() else 0)
-                dropped.append(gone)
-            cols = [c for i, c in enumerate(batch.columns) if i not in (at, kept_at)]
-            names = [n for i, n in enumerate(batch.schema.names) if i not in (at, kept_at)]
-            yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.list_(pa.int32()))],
-                names=[*names, "_text", "_n_lines", "_dropped"],
-            )
-
-    return run
+                text = "\n".join([x for p, x in enumerate(all_lines) if p not in lost])
+            texts.append(text)
+            lines.append(len(all_lines) if value.as_py() else 0)
+            dropped.append(gone)
+        cols = [pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=names)
+
+
+def _deduped(docs: DataFrame, id_col: str, text_col: str, carried: list[str]) -> DataFrame:
+    """(row, text, n_lines, dropped): the carried columns as a struct, the text that is left, the number
+    of lines before and the positions of those that went."""
+    known, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(
+        F.coalesce(known, F.lit(NO_ID)).alias("doc_id"), F.xxhash64(known.isNull(), text).alias("doc"), text.alias("text"),
+        F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"),
+    )
+    both = rows.join(kept_lines(rows.select("doc_id", "doc", "text")), ["doc_id", "doc"], "left").select("row", "text", "kept")
+    schema = StructType([
+        both.schema["row"], StructField("text", StringType()), StructField("n_lines", LongType()),
+        StructField("dropped", ArrayType(IntegerType())),
+    ])
+    return both.mapInArrow(_apply, schema)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with all its columns, texts without lines that stay elsewhere, and the added columns _n_lines
-    (lines of the text before) and _dropped (their positions, from 0).
+    """docs with all its columns and rows, texts without the lines that stay elsewhere.
 
     The first occurrence by doc_id, then position, stays.  Blank lines always stay and belong to no group.
     Null texts stay null and have no lines.  Rows equal in doc_id and text are one document: they come
     out equal.  Rows with a null doc_id come last in the order of occurrences.  A document may come out
-    empty.  An empty table gives no rows; columns of docs named like the helpers, _id, _doc, _kept,
-    _text, _n_lines and _dropped, are not allowed."""
-    clash = {"_id", "_doc", "_kept", "_text", "_n_lines", "_dropped"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns with names of helpers: {sorted(clash)}")
-    known, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    rows = docs.withColumn("_id", F.coalesce(known, F.lit(NO_ID))).withColumn("_doc", F.xxhash64(known.isNull(), text))
-    kept = kept_lines(rows.select(F.col("_id").alias("doc_id"), F.col("_doc").alias("doc"), text.alias("text")))
-    both = rows.join(kept.select(F.col("doc_id").alias("_id"), F.col("doc").alias("_doc"), F.col("kept").alias("_kept")), ["_id", "_doc"], "left")
-    names = both.columns
-    fields = [f for f in both.schema.fields if f.name not in (text_col, "_kept")]
-    from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
-
-    schema = StructType([
-        *fields, StructField("_text", StringType()), StructField("_n_lines", LongType()), StructField("_dropped", ArrayType(IntegerType())),
-    ])
-    done = both.mapInArrow(_apply(names.index(text_col), names.index("_kept")), schema)
-    return done.select(*[F.col("_text").alias(c) if c == text_col else F.col(c) for c in docs.columns], "_n_lines", "_dropped")
+    empty.  An empty table gives no rows; no name of another column matters."""
+    rest = [c for c in docs.columns if c != text_col]
+    done = _deduped(docs, id_col, text_col, rest)
+    return done.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 
 
-def line_report(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs: doc_id, n_lines, n_dropped, dropped and text_sha256 of what is left."""
-    out = dedup_lines(docs.select("doc_id", "text"))
+def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of docs: doc_id, n_lines, n_dropped, dropped (positions, from 0) and
+    text_sha256 of what is left; the cases are those of dedup_lines()."""
+    out = _deduped(docs, id_col, text_col, [id_col])
     return out.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("_n_lines").alias("n_lines"),
-        F.size("_dropped").cast("long").alias("n_dropped"), F.col("_dropped").alias("dropped"),
+        F.col("row")[id_col].cast("long").alias("doc_id"), "n_lines", F.size("dropped").cast("long").alias("n_dropped"), "dropped",
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
     )

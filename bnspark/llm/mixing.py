@@ -102,7 +102,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Posterior
         drop(rows)
         known = [0.0 if k in seen or not seen else -30.0 for k in range(len(DOMAINS))]
         return Posterior([], [], known)
-    counted = CountVectorizer(inputCol="features", outputCol="x", minDF=LEAST_DOCS, vocabSize=VOCABULARY, binary=True).fit(rows)
+    least = min(LEAST_DOCS, max(1, sum(seen.values()) // 50))  # fewer in small samples
+    counted = CountVectorizer(inputCol="features", outputCol="x", minDF=least, vocabSize=VOCABULARY, binary=True).fit(rows)
     fitted = LogisticRegression(featuresCol="x", family="multinomial", regParam=2e-3, elasticNetParam=1.0, maxIter=80).fit(
         counted.transform(rows).select("label", "x")
     )
@@ -178,7 +179,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: Sequence[float] = TARGETS
     members = materialize(_members(rows, posterior), "members")
     steps = fit_rates(members, targets)
     drop(members)
-    own = posterior.of(with_features(docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").cast("string").alias("text"))))
+    own = posterior.of(with_features(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").cast("string").alias("text"))))
     own = own.select("_row", rate_of(F.col("p"), steps).alias("_r"))
     part = F.pmod(F.xxhash64(F.lit(8), F.col("_row.doc_id"), F.col("_row.text")), F.lit(1 << 30)) / float(1 << 30)
     times = F.floor(F.col("_r") + part).cast("int")

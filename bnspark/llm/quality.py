@@ -127,22 +127,28 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Fitted:
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     n, good = known.agg(F.count("*"), F.coalesce(F.sum(F.col("quality").cast("long")), F.lit(0))).first()
     share = (good + 1) / (n + 2)
-    prior = min(max(share - 2 * (share * (1 - share) / (n + 2)) ** 0.5, 0.02), 0.98)  # its lower bound
+    prior = min(max(share - 2 * (share * (1 - share) / (n + 2)) ** 0.5, 0.02), 0.98) if n else 0.5  # its lower bound
     trusted = known.where("quality = 1").select("doc_id").orderBy(order, "doc_id").limit(sample)
     rest = docs.where(fold(F.col("doc_id")) != 0).select("doc_id").orderBy(order, "doc_id").limit(sample)
     return fit(_sampled(docs, trusted), _sampled(docs, rest), prior)
 
 
-def _scorer(model: Fitted, keep_rows: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scorer(model: Fitted) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            x = np.array([features(t.as_py()) for t in batch.column(at)], np.float64).reshape(-1, WIDTH)
-            score = pa.array(model.score(x))
-            if keep_rows:
-                yield batch.filter(pa.compute.greater_equal(score, THRESHOLD))
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column(0), score], names=["doc_id", "score"])
+            x = np.array([features(t.as_py()) for t in batch.column(1)], np.float64).reshape(-1, WIDTH)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], names=["doc_id", "score"])
+
+    return run
+
+
+def _filter(model: Fitted, at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Whole rows as structs, whose field `at` is the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([features(t.as_py()) for t in batch.column(0).field(at)], np.float64).reshape(-1, WIDTH)
+            yield batch.filter(pa.array(model.score(x) >= THRESHOLD))
 
     return run
 
@@ -160,7 +166,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     rows.  No column but text makes a score."""
     rows = _rows(docs)
     model = train(rows, labels, sample)
-    out = rows.mapInArrow(_scorer(model, False), "doc_id long, score double")
+    out = rows.mapInArrow(_scorer(model), "doc_id long, score double")
     return out.select(
         "doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
@@ -170,4 +176,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs, with all their columns, whose score is at least THRESHOLD."""
     model = train(_rows(docs), labels, sample)
-    return docs.mapInArrow(_scorer(model, True), docs.schema)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = whole.mapInArrow(_filter(model, docs.columns.index("text")), whole.schema)
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

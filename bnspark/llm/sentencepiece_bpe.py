@@ -24,6 +24,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 SPACE = "▁"
 NORMAL, BYTE = 1, 6
@@ -283,11 +284,7 @@ def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 def encoded(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """docs without its text but with its other columns, and ids (array<int>), n_tokens and decoded_sha256
     of each text, which replace columns of those names; null texts count as empty."""
-    from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
-
-    added = [("ids", ArrayType(IntegerType())), ("n_tokens", LongType()), ("decoded_sha256", StringType())]
-    kept = [c for c in docs.columns if c not in ("ids", "n_tokens", "decoded_sha256")]
-    at = kept.index(text_col)
+    kept = [c for c in docs.columns if c not in (text_col, "ids", "n_tokens", "decoded_sha256")]
     model = _model(docs.sparkSession.sparkContext, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,16 +293,18 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 ids, decoded = [], []
-                for value in part.column(at):
+                for value in part.column(1):
                     parts = coder.parts(value.as_py() or "")
                     ids.append([int(i) for i in ",".join([p[0] for p in parts]).split(",")] if parts else [])
                     decoded.append(hashlib.sha256(b"".join([p[1] for p in parts])[1:]).hexdigest())
-                rest = [c for i, c in enumerate(part.columns) if i != at]
                 lists, counts = pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [*rest, lists, counts, pa.array(decoded)], names=[*[c for c in kept if c != text_col], *[n for n, _ in added]]
-                )
-
-    rows = docs.select(*kept)
-    schema = StructType([*[f for f in rows.schema.fields if f.name != text_col], *[StructField(n, t) for n, t in added]])
-    return rows.mapInArrow(run, schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, counts, pa.array(decoded)], names=names)
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    schema = StructType([
+        rows.schema["row"], StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", LongType()),
+        StructField("decoded_sha256", StringType()),
+    ])
+    names = schema.names
+    out = rows.mapInArrow(run, schema)
+    return out.select(*[F.col("row")[c].alias(c) for c in kept], *names[1:])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from bnspark.llm.common import attach, connected_components, drop, materialize, maybe_broadcast
+from bnspark.llm.common import attach, connected_components, drop, fresh, materialize, maybe_broadcast
 from bnspark.llm.hamming import BLOCK, hamming_links
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -116,7 +116,7 @@ def simhash_components(
     doc_id or whole, each give a row.  A null doc_id stays null and takes the smallest known id of
     its component, or null if there is none.  An empty table gives an empty result; other columns are
     not read.  Copies share a fingerprint, so keys and links are made of distinct fingerprints."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     fps = materialize(rows.mapInArrow(_fingerprint(shingle), "doc_id long, fp long"), "fingerprints")
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "nodes")
     keyed = nodes.select("fp").mapInArrow(_emit_keys, "key long, fp long")
@@ -141,17 +141,20 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     rows that repeat that doc_id the smallest by their columns.  A row with a null doc_id can't stand
     for a group: such rows stay, once for each different row."""
     comp = simhash_components(docs, id_col, text_col, shingle).where("doc_id is not null")
-    gone = materialize(comp.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "gone")
-    named = docs.where(F.col(id_col).isNotNull())
-    out = named.join(maybe_broadcast(gone), named[id_col].cast("long") == F.col("_id"), "left_anti")
-    twice = materialize(docs.groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("_id")), "twice")
+    other = fresh(docs, "_id")
+    known = F.col(f"`{id_col}`")
+    named = lambda df: df.select(F.col("doc_id").alias(other)).distinct()
+    gone = materialize(named(comp.where("doc_id <> component_id")), "gone")
+    out = docs.where(known.isNotNull()).join(maybe_broadcast(gone), known.cast("long") == F.col(other), "left_anti")
+    twice = materialize(named(comp.groupBy("doc_id").count().where("count > 1")), "twice")
+    nameless = docs.where(known.isNull()).distinct()
     if twice.isEmpty():
-        return out
+        return out.unionByName(nameless)
+    # Rows that repeat an id are reduced in each task to the smallest before they meet.
     many = maybe_broadcast(twice)
-    again = docs.join(many, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    whole = [c for c in docs.columns if c != id_col]
-    again = again.join(maybe_broadcast(gone), again[id_col].cast("long") == F.col("_id"), "left_anti")
-    one = again.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(F.struct(*whole)).alias("_row"))
-    one = one.select(*[F.col(c) if c == id_col else F.col("_row")[c].alias(c) for c in docs.columns])
-    nameless = docs.where(F.col(id_col).isNull()).distinct()
-    return out.join(many, F.col(id_col) == F.col("_id"), "left_anti").unionByName(one).unionByName(nameless)
+    again = out.join(many, known.cast("long") == F.col(other), "left_semi")
+    rest = [c for c in docs.columns if c != id_col]
+    row = F.struct(*[F.col(f"`{c}`") for c in rest])
+    one = again.select(known.alias("id"), row.alias("row")).groupBy("id").agg(F.min("row").alias("row"))
+    one = one.select(*[F.col("id").alias(c) if c == id_col else F.col("row")[c].alias(c) for c in docs.columns])
+    return out.join(many, known.cast("long") == F.col(other), "left_anti").unionByName(one).unionByName(nameless)
