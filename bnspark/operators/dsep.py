@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bnspark.functions.combinatorics import mask_to_list
 from bnspark.operators.graph import PDAG, closure
+from bnspark.sources.shared import drop, materialize
 
 
 def d_separated(dag: PDAG, x: int, y: int, given: Collection[int] = ()) -> bool:
@@ -62,20 +63,22 @@ def separated_table(edges: DataFrame, nodes: DataFrame, tests: DataFrame) -> Dat
     """(test_id, separated) for tests (test_id, x, y, z array) over one DAG, all at once."""
     up = ancestors(edges, nodes)
     asked = tests.select("test_id", F.explode(F.array_union(F.array("x", "y"), F.col("z"))).alias("node"))
-    old = asked.join(up, "node").select("test_id", F.col("ancestor").alias("id")).distinct().persist()
+    old = asked.join(up, "node").select("test_id", F.col("ancestor").alias("id")).distinct()
+    old = materialize(old, "old")
     arcs = old.withColumnRenamed("id", "src").join(edges.select("src", "dst"), "src").join(old.withColumnRenamed("id", "dst"), ["test_id", "dst"])
     kin = arcs.select("test_id", F.col("src").alias("a"), F.col("dst").alias("b"))
     left, right = arcs.select("test_id", F.col("src").alias("a"), "dst"), arcs.select("test_id", F.col("src").alias("b"), "dst")
     moral = kin.unionByName(left.join(right, ["test_id", "dst"]).where("a <> b").select("test_id", "a", "b"))
     moral = moral.unionByName(moral.select("test_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     blocked = tests.select("test_id", F.explode("z").alias("b"))
-    moral = moral.join(blocked, ["test_id", "b"], "left_anti").persist()
-    seen = tests.select("test_id", F.col("x").alias("id")).persist()
+    moral = materialize(moral.join(blocked, ["test_id", "b"], "left_anti"), "moral")
+    seen = materialize(tests.select("test_id", F.col("x").alias("id")), "seen")
     n = seen.count()
     while True:
         near = seen.withColumnRenamed("id", "a").join(moral, ["test_id", "a"]).select("test_id", F.col("b").alias("id"))
-        more = seen.unionByName(near).distinct().persist()
+        more = materialize(seen.unionByName(near).distinct(), "seen")
         grown = more.count()
+        drop(seen)
         if grown == n:
             break
         seen, n = more, grown

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bnspark.functions.combinatorics import mask_to_list
+from bnspark.sources.shared import drop, materialize
 
 
 class PDAG:
@@ -240,21 +241,21 @@ def neighbors(edges: DataFrame) -> DataFrame:
 
 def closure(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(src, dst) for each node and what it reaches along the arcs, itself included.  Paths double in
-    each round, so the rounds are the logarithm of the longest one; the pairs are cached, as they are
-    the result of a round and the input of the next."""
-    reach = nodes.select(F.col("id").alias("src"), F.col("id").alias("dst")).unionByName(edges.select("src", "dst")).distinct().persist()
+    each round, so the rounds are the logarithm of the longest one; each round is a table of its own, as
+    plans that hold all rounds before would double, too."""
+    reach = nodes.select(F.col("id").alias("src"), F.col("id").alias("dst")).unionByName(edges.select("src", "dst")).distinct()
+    reach = materialize(reach, "reach")
     n = reach.count()
     while True:
-        longer = reach.alias("a").join(reach.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst").distinct().persist()
+        longer = reach.alias("a").join(reach.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst").distinct()
+        longer = materialize(longer, "reach")
         grown = longer.count()
+        drop(reach)
         if grown == n:
             return longer
-        reach.unpersist()
         reach, n = longer, grown
 
 
-
-
 def arcs_of(parents: Sequence[Iterable[int]]) -> list[tuple[int, int]]:
     return sorted((u, v) for v, p in enumerate(parents) for u in p)
 
