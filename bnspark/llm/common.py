@@ -2,54 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bnspark.sources.shared import drop, materialize, new_path, shared_dir
+
+__all__ = ["drop", "materialize", "new_path", "shared_dir"]
+
 # Most rows a join side may have to be broadcast; with the narrow rows used here, some 30 MB.
 BROADCAST_ROWS = 500_000
 # A key that holds at least one in HOT_SHARE rows is hot, so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 1_000
-_OWN_DIR: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or, where that is unset (local tests), one of our own."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known:
-        return known.rstrip("/")
-    if not _OWN_DIR:
-        _OWN_DIR.append(tempfile.mkdtemp(prefix="bnspark-"))
-        atexit.register(shutil.rmtree, _OWN_DIR[0], ignore_errors=True)
-    return "file://" + _OWN_DIR[0]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/bnspark/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back.  The table has no lineage, and
-    any executor can read it again after another one is lost."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._bnspark_path = path
-    return back
-
-
-def drop(df: DataFrame | None) -> None:
-    """Delete a materialized table that no later plan reads."""
-    path = getattr(df, "_bnspark_path", None)
-    if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def fresh(df: DataFrame, name: str) -> str:
