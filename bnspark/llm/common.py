@@ -13,6 +13,7 @@ __all__ = ["drop", "materialize", "new_path", "shared_dir"]
 BROADCAST_ROWS = 500_000
 # A key that holds at least one in HOT_SHARE rows is hot, so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 1_000
+MOST_BITMAP = 27  # as a power of two, bits
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -29,6 +30,20 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def maybe_in(rows: DataFrame, key: str, keys: DataFrame, count: int) -> DataFrame:
+    """The rows whose key may be in the first column of keys, about `count` rows: all that are, and a few
+    more.  What is sent to the tasks is a bitmap of hashes, of 64 bits a key but never over 16 MB."""
+    bits = 1 << min(MOST_BITMAP, max(15, (64 * count).bit_length()))
+    spot = lambda c: F.pmod(F.xxhash64(F.lit(11), c), F.lit(bits))
+    marks = keys.select(spot(F.col(keys.columns[0])).alias("_s"))
+    pages = marks.groupBy(F.floor(F.col("_s") / 32_768).alias("_page")).agg(F.bitmap_construct_agg(F.col("_s") % 32_768).alias("_bits"))
+    spotted = rows.withColumn("_spot", spot(F.col(key)))
+    spotted = spotted.join(F.broadcast(pages), F.floor(F.col("_spot") / 32_768) == F.col("_page"))
+    at = F.col("_spot") % 32_768
+    byte = F.conv(F.hex(F.substr("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return spotted.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def attach(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """Left-join rows with table, which has one row for each key and in column `count` the number
     of rows with that key.  The few hot keys are joined by a broadcast of at most HOT_SHARE rows;

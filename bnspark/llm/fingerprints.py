@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from bnspark.llm.common import attach, drop, materialize, maybe_broadcast
+from bnspark.llm.common import attach, drop, materialize, maybe_broadcast, maybe_in
 
 # White space that NFKC leaves besides the plain space.
 SPACE = r"\t\n\x0B\f\r\x{1C}-\x{1F}\x{85}\x{1680}\x{2028}\x{2029}"
@@ -82,11 +82,10 @@ def with_next(rows: DataFrame, id_col: str, carried: list[str]) -> DataFrame:
 
 def clashes(docs: DataFrame, prints: DataFrame, text_col: str, bits: int) -> DataFrame:
     """Digests (fp) of prints whose rows have different canonical forms.  Only texts of buckets with
-    at least two rows move, reduced to the least and greatest of each task before they do."""
-    many = materialize(prints.groupBy("fp").count().where("count > 1").select(F.col("fp").alias("_fp")), "buckets")
+    at least two rows, and a few more, move, reduced to the least and greatest of each task before they do."""
+    many = materialize(prints.groupBy("fp").count().where("count > 1").select("fp"), "buckets")
     forms = docs.select(canonical(F.col(text_col)).alias("form"))
-    forms = forms.select("form", wide_hash(F.col("form"), bits).alias("fp"))
-    forms = forms.join(maybe_broadcast(many), F.col("fp") == F.col("_fp"), "left_semi")
+    forms = maybe_in(forms.select("form", wide_hash(F.col("form"), bits).alias("fp")), "fp", many, many.count())
     out = forms.groupBy("fp").agg(F.min("form").alias("low"), F.max("form").alias("high")).where("low <> high")
     out = materialize(out.select("fp"), "clashes")
     drop(many)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 from xxhash import xxh3_128_digest
 
-from bnspark.llm.common import connected_components, drop, materialize, maybe_broadcast
+from bnspark.llm.common import connected_components, drop, materialize, maybe_broadcast, maybe_in
 from bnspark.llm.hamming import BLOCK, hamming_links, popcount, runs, starts_of
 
 MOST_BITS = 3
@@ -244,7 +244,8 @@ def kept_lines(docs: DataFrame, block: int = BLOCK, lines_a_block: int = LINES_A
     wanted = cand.join(maybe_broadcast(sizes), "comp").groupBy("first.doc_id", "first.doc").agg(F.collect_list(item).alias("wanted"))
     wanted = materialize(wanted, "wanted")
     # A document that repeats gives its lines twice, which links them to themselves alone.
-    holders = docs.select("doc_id", "doc", "text").join(maybe_broadcast(wanted, 50_000), ["doc_id", "doc"])
+    holders = maybe_in(docs.select("doc_id", "doc", "text"), "doc", wanted.select("doc"), wanted.count())
+    holders = holders.join(wanted, ["doc_id", "doc"])
     texts = holders.select("text", "wanted").mapInArrow(_texts, "comp long, members long, id binary, fp long, line string")
     n = F.ceil(F.col("members") / lines_a_block).cast("int")
     mine = F.pmod(F.xxhash64("id"), n).cast("int")

@@ -270,3 +270,13 @@ def test_attach_spreads_hot_keys(spark):
     out = common.attach(rows, groups.where("k % 2 = 1"), "k", "n", 5_000)
     assert out.count() == 5_000
     assert out.where("k % 2 = 1 and (twice is null or twice <> k * 2) or k % 2 = 0 and twice is not null").count() == 0
+
+
+@pytest.mark.parametrize("most", [15, 27])
+def test_maybe_in_loses_nothing(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "MOST_BITMAP", most)
+    rows = spark.range(20_000).selectExpr("id", "cast(id as string) as k", "1 as _page_")
+    keys = rows.where("id % 17 = 3").select("k")
+    got = {r.id for r in common.maybe_in(rows, "k", keys, keys.count()).collect()}
+    assert got >= set(range(3, 20_000, 17)) and len(got) < 2_500
+    assert common.maybe_in(rows, "k", keys.limit(0), 0).count() == 0
