@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from bnspark.functions.special import chi2_sf
 from bnspark.operators.contingency import ContingencyTable, count_sets
@@ -47,21 +48,29 @@ def statistics(cells: DataFrame) -> DataFrame:
     cell with O = 0 the chi-square term is its E, and all E of a slice sum to its n.  Slices with one
     degree of freedom are Yates-corrected for both statistics; there all four |O - E| are the same, so
     each cell without a count has E = |O - E| of the others."""
-    rows = cells.groupBy("test_id", "z", "x").agg(F.sum("n").alias("row"))
-    cols = cells.groupBy("test_id", "z", "y").agg(F.sum("n").alias("col"))
-    wide = cols.groupBy("test_id", "z").agg(F.count("*").alias("n_cols"))
-    slices = rows.groupBy("test_id", "z").agg(F.count("*").alias("n_rows"), F.sum("row").alias("total")).join(wide, ["test_id", "z"])
-    slices = slices.withColumn("d", (F.col("n_rows") - 1) * (F.col("n_cols") - 1))
-    full = cells.join(rows, ["test_id", "z", "x"]).join(cols, ["test_id", "z", "y"]).join(slices, ["test_id", "z"])
+    # One exchange by slice serves all windows and the sums of a slice: their keys contain it.
+    slice_of = Window.partitionBy("test_id", "z")
+    by_row, by_col = Window.partitionBy("test_id", "z", "x"), Window.partitionBy("test_id", "z", "y")
+    full = cells.repartition("test_id", "z").select(
+        "*", F.sum("n").over(by_row).alias("row"), F.count("*").over(by_row).alias("in_row"),
+    )
+    full = full.select("*", F.sum("n").over(by_col).alias("col"), F.count("*").over(by_col).alias("in_col"))
+    # Each cell is its share of a row, so the shares sum to the number of rows.
+    full = full.select(
+        "*", F.sum("n").over(slice_of).alias("total"), F.round(F.sum(1 / F.col("in_row")).over(slice_of)).cast("long").alias("n_rows"),
+        F.round(F.sum(1 / F.col("in_col")).over(slice_of)).cast("long").alias("n_cols"),
+    )
+    full = full.withColumn("d", (F.col("n_rows") - 1) * (F.col("n_cols") - 1))
     e = F.col("row").cast("double") * F.col("col") / F.col("total")
     off = F.abs(F.col("n") - e)
     move = F.when(F.col("d") == 1, F.least(F.lit(0.5), off)).otherwise(F.lit(0.0))
     o = F.col("n") + F.signum(e - F.col("n")) * move
     full = full.select("test_id", "z", "d", "total", "n_rows", "n_cols", e.alias("e"), o.alias("o"), off.alias("off"), move.alias("move"))
-    sums = full.groupBy("test_id", "z", "d", "total", "n_rows", "n_cols").agg(
+    sums = full.groupBy("test_id", "z").agg(
         F.sum((F.col("o") - F.col("e")) ** 2 / F.col("e")).alias("chi2"),
         F.sum(F.when(F.col("o") > 0, 2 * F.col("o") * F.log(F.col("o") / F.col("e"))).otherwise(F.lit(0.0))).alias("g2"),
         F.sum("e").alias("e"), F.count("*").alias("seen"), F.max("off").alias("off"), F.max("move").alias("move"),
+        *[F.max(c).alias(c) for c in ("d", "total", "n_rows", "n_cols")],
     )
     empty = (F.col("n_rows") * F.col("n_cols") - F.col("seen")).cast("double")
     rest = F.when(F.col("d") == 1, empty * (F.col("off") - F.col("move")) ** 2 / F.col("off")).otherwise(F.col("total") - F.col("e"))

@@ -96,3 +96,26 @@ def shd(truth: PDAG, predicted: PDAG) -> int:
         (t.has_edge(a, b), t.has_edge(b, a)) != (p.has_edge(a, b), p.has_edge(b, a))
         for a in range(t.num_vars) for b in range(a + 1, t.num_vars)
     )
+
+
+def structural_errors_of(truth: PDAG, predicted: PDAG) -> dict[str, int]:
+    """The counts of structural_errors() for two small graphs, on the driver."""
+    if truth.num_vars != predicted.num_vars:
+        raise ValueError("node sets differ")
+    t, p = pattern_of(truth), pattern_of(predicted)
+    out = dict.fromkeys(ERRORS, 0)
+
+    def way(g: PDAG, a: int, b: int) -> int | None:
+        """0 for an undirected edge, 1 or -1 for an arc, None for no edge."""
+        there, back = g.has_edge(a, b), g.has_edge(b, a)
+        return there - back if there or back else None
+
+    for a in range(t.num_vars):
+        for b in range(a + 1, t.num_vars):
+            x, y = way(t, a, b), way(p, a, b)
+            if x == y:
+                continue
+            out["ME" if y is None else "EE" if x is None else "ED" if x == 0 else "MD" if y == 0 else "RD"] += 1
+    out["DE"] = out["ED"] + out["MD"] + out["RD"]
+    out["SHD"] = out["ME"] + out["EE"] + out["DE"]
+    return out

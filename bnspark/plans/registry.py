@@ -41,11 +41,12 @@ BN_SQL = BN_CTES.replace("{lineitem}", "lineitem")
 RAW = ["l_discount", "l_linenumber", "l_linestatus", "l_returnflag", "l_tax"]
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        key = name or f.__name__
+        QUERIES[key] = f
         if sql:
-            ORACLES[f.__name__] = sql
+            ORACLES[key] = sql
         return f
 
     return add
@@ -92,7 +93,7 @@ def ingest_validate(spark, sf_dir):
     return table.agg(F.count("*").alias("n_rows"), F.lit(len(RAW)).cast("long").alias("n_vars"), F.count_if(null).alias("n_nulls"))
 
 
-@query(" UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS var_id, '{c}' AS variable, CAST(row_number() OVER (ORDER BY value) - 1 AS BIGINT) AS code, value FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS value FROM lineitem)" for i, c in enumerate(RAW)))
+@query(" UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS var_id, '{c}' AS variable, CAST(row_number() OVER (ORDER BY value) - 1 AS BIGINT) AS code, value FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS value FROM lineitem)" for i, c in enumerate(RAW)), name="dictionary")
 def dictionary_of(spark, sf_dir):
     return _long(dictionary(ingest(_table(spark, sf_dir, "lineitem").select(*RAW))))
 
@@ -113,7 +114,7 @@ def row_vector(spark, sf_dir):
     return raw(spark, sf_dir).data_row_major.select(F.array_join(F.col("row").cast("array<string>"), ",").alias("row_codes"))
 
 
-@query()
+@query(name="simulate")
 def simulate_asia(spark, sf_dir):
     return simulate(spark, "asia", 10_000, 7)
 
@@ -226,12 +227,12 @@ def bench_summary(spark, sf_dir):
 _CHI2 = [(x, d) for d in (0, 1, 2, 5, 10, 30, 100) for x in (0.0, 0.5, 3.841458820694124, 12.405322, 18.307038053275146, 124.34)]
 
 
-@query("WITH t(x, dof) AS (VALUES " + ", ".join(f"({x}::DOUBLE, {d})" for x, d in _CHI2) + ") SELECT x, CAST(dof AS BIGINT) AS dof, CASE WHEN dof = 0 THEN CASE WHEN x = 0 THEN 1.0 ELSE 0.0 END WHEN x = 0 THEN 1.0 ELSE round(abs(1 - (SELECT sum(exp((dof / 2.0 + k) * ln(x / 2) - x / 2 - lgamma(dof / 2.0 + k + 1))) FROM range(0, 400) AS r(k))), 7) END AS p FROM t")
+@query("WITH t(x, dof) AS (VALUES " + ", ".join(f"({x}::DOUBLE, {d})" for x, d in _CHI2) + ") SELECT x, CAST(dof AS BIGINT) AS dof, CASE WHEN dof = 0 THEN CASE WHEN x = 0 THEN 1.0 ELSE 0.0 END WHEN x = 0 THEN 1.0 ELSE round(abs(1 - (SELECT sum(exp((dof / 2.0 + k) * ln(x / 2) - x / 2 - lgamma(dof / 2.0 + k + 1))) FROM range(0, 400) AS r(k))), 7) END AS p FROM t", name="chi2_sf")
 def chi2_tail(spark, sf_dir):
     return spark.createDataFrame([(x, d, round(chi2_sf(x, d), 7)) for x, d in _CHI2], "x double, dof long, p double")
 
 
-@query("SELECT CAST(k AS BIGINT) AS k, round(lgamma(k / 7.0), 8) AS lg FROM range(1, 5000) AS r(k)")
+@query("SELECT CAST(k AS BIGINT) AS k, round(lgamma(k / 7.0), 8) AS lg FROM range(1, 5000) AS r(k)", name="lgamma")
 def lgamma_table(spark, sf_dir):
     return spark.range(1, 5000).select(F.col("id").alias("k"), F.round(lgamma(F.col("id") / 7.0), 8).alias("lg"))
 
@@ -343,7 +344,7 @@ dofs AS (SELECT test_id, sum((nr - 1) * (nc - 1)) AS dof FROM s GROUP BY test_id
 )
 
 
-@query("WITH " + _BATCH_CTES + " SELECT CAST(test_id AS BIGINT) AS test_id, round(chi2, 5) AS chi2, round(g2, 5) AS g2, CAST(dof AS BIGINT) AS dof FROM stats JOIN dofs USING (test_id)")
+@query("WITH " + _BATCH_CTES + " SELECT CAST(test_id AS BIGINT) AS test_id, round(chi2, 5) AS chi2, round(g2, 5) AS g2, CAST(dof AS BIGINT) AS dof FROM stats JOIN dofs USING (test_id)", name="ci_batch")
 def ci_batch_bn(spark, sf_dir):
     out = ci_batch(bn(spark, sf_dir), _BN_TESTS)
     return _long(out.select("test_id", F.round("chi2", 5).alias("chi2"), F.round("g2", 5).alias("g2"), "dof"))
@@ -542,7 +543,7 @@ _ALARM_SQL = "e(src, dst) AS (VALUES " + ", ".join(f"({u}::BIGINT, {v}::BIGINT)"
 _UP_SQL = f"WITH RECURSIVE {_ALARM_SQL}, up(node, ancestor) AS (SELECT CAST(id AS BIGINT), CAST(id AS BIGINT) FROM range(0, 37) AS r(id) UNION SELECT up.node, e.src FROM up JOIN e ON e.dst = up.ancestor)"
 
 
-@query(_UP_SQL + " SELECT node, ancestor FROM up")
+@query(_UP_SQL + " SELECT node, ancestor FROM up", name="ancestors")
 def ancestors_alarm(spark, sf_dir):
     return ancestors(_long(_ALARM.edges(spark)), _nodes(spark, 37))
 
@@ -553,7 +554,7 @@ def is_ancestor(spark, sf_dir):
     return spark.createDataFrame(rows, "u long, v long, is_ancestor boolean")
 
 
-@query(f"WITH {_ALARM_SQL} SELECT least(src, dst) AS a, greatest(src, dst) AS b FROM e UNION SELECT i.src, j.src FROM e i JOIN e j ON i.dst = j.dst AND i.src < j.src")
+@query(f"WITH {_ALARM_SQL} SELECT least(src, dst) AS a, greatest(src, dst) AS b FROM e UNION SELECT i.src, j.src FROM e i JOIN e j ON i.dst = j.dst AND i.src < j.src", name="moral_graph")
 def moral_graph_alarm(spark, sf_dir):
     return moral_graph(_long(_ALARM.edges(spark)))
 

@@ -13,10 +13,10 @@ from pyspark.sql.window import Window
 LITERAL_VALUES = 256
 
 
-def ingest(data, spark: SparkSession | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+def strings(data, spark: SparkSession | None = None, columns: Sequence[str] | None = None) -> DataFrame:
     """A table of strings from a Spark or pandas frame; any primitive is cast.  Columns keep their order.
 
-    Raises ValueError for anything else, for no columns, for repeated names and for nulls."""
+    Raises ValueError for anything else, for no columns and for repeated names."""
     if not isinstance(data, DataFrame):
         if not hasattr(data, "columns") or not hasattr(data, "values") or getattr(data.values, "ndim", 0) != 2:
             raise ValueError("a Spark or pandas frame is needed")
@@ -30,9 +30,14 @@ def ingest(data, spark: SparkSession | None = None, columns: Sequence[str] | Non
     kinds = dict(data.dtypes)
     if bad := [c for c in names if kinds[c].startswith(("array", "map", "struct", "binary"))]:
         raise ValueError(f"columns can't be cast to string: {bad}")
-    out = data.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in names])
-    nulls = out.select(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in names]).first()
-    if found := [c for c in names if nulls[c]]:
+    return data.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in names])
+
+
+def ingest(data, spark: SparkSession | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+    """strings(), refusing tables that hold nulls."""
+    out = strings(data, spark, columns)
+    nulls = out.select(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in out.columns]).first()
+    if found := [c for c in out.columns if nulls[c]]:
         raise ValueError(f"columns hold nulls: {found}")
     return out
 
@@ -53,16 +58,20 @@ class EncodedTable:
     once, with its weight w: exact, and mostly far smaller than the rows."""
 
     def __init__(self, data, spark: SparkSession | None = None, columns: Sequence[str] | None = None):
-        self.table = ingest(data, spark, columns)
+        self.table = strings(data, spark, columns)
         self.spark = self.table.sparkSession
         self.col_idx2str = list(self.table.columns)
         self.col_str2idx = {c: i for i, c in enumerate(self.col_idx2str)}
         self.num_of_vars = len(self.col_idx2str)
-        self.dictionary = dictionary(self.table)
-        found = self.dictionary.groupBy("var_id").agg(F.array_sort(F.collect_list(F.struct("code", "value"))).alias("d")).collect()
+        # The rows are read once; dictionaries and counts come from the distinct combinations.
+        self._distinct = self.table.groupBy(*[F.col(f"`{c}`") for c in self.col_idx2str]).agg(F.count("*").alias("_w")).persist()
+        self.dictionary = dictionary(self._distinct.select(*[F.col(f"`{c}`") for c in self.col_idx2str]))
+        found = self.dictionary.groupBy("var_id").agg(F.collect_list(F.struct("code", "value")).alias("d")).collect()
         self.val_idx2str: list[list[str]] = [[] for _ in self.col_idx2str]
         for row in found:
-            self.val_idx2str[row["var_id"]] = [d["value"] for d in row["d"]]
+            self.val_idx2str[row["var_id"]] = [d["value"] for d in sorted(row["d"], key=lambda d: d["code"])]
+        if nulls := [c for c, values in zip(self.col_idx2str, self.val_idx2str, strict=True) if None in values]:
+            raise ValueError(f"columns hold nulls: {nulls}")
         self.val_str2idx = [{v: i for i, v in enumerate(values)} for values in self.val_idx2str]
         self.num_of_values = [len(values) for values in self.val_idx2str]
 
@@ -70,9 +79,8 @@ class EncodedTable:
     def names(self) -> list[str]:
         return [f"v{i}" for i in range(self.num_of_vars)]
 
-    @cached_property
-    def codes(self) -> DataFrame:
-        out = self.table
+    def _encoded(self, table: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
+        out = table
         for i, c in enumerate(self.col_idx2str):
             values = self.val_idx2str[i]
             if len(values) <= LITERAL_VALUES:
@@ -81,11 +89,15 @@ class EncodedTable:
             else:
                 own = self.dictionary.where(F.col("var_id") == i).select(F.col("code").alias(f"_{i}"), F.col("value").alias(f"_value{i}"))
                 out = out.join(own, F.col(f"`{c}`") == F.col(f"_value{i}"))
-        return out.select(*[F.col(f"_{i}").cast("int").alias(f"v{i}") for i in range(self.num_of_vars)])
+        return out.select(*[F.col(f"_{i}").cast("int").alias(f"v{i}") for i in range(self.num_of_vars)], *carried)
+
+    @cached_property
+    def codes(self) -> DataFrame:
+        return self._encoded(self.table)
 
     @cached_property
     def compressed(self) -> DataFrame:
-        return self.codes.groupBy(*self.names).agg(F.count("*").alias("w")).persist()
+        return self._encoded(self._distinct, [F.col("_w").alias("w")])
 
     @cached_property
     def num_of_datapoints(self) -> int:

@@ -96,6 +96,8 @@ def test_ingest_refuses(spark):
     for bad in (spark.range(1).select(F.lit(None).cast("string").alias("x")), spark.range(1).select(F.array(F.lit(1)).alias("x")), [1], pd.Series([1])):
         with pytest.raises(ValueError):
             ingest(bad, spark)
+        with pytest.raises(ValueError):
+            EncodedTable(bad, spark)
     with pytest.raises(ValueError):
         ingest(spark.range(1).selectExpr("1 a", "2 a"))
     order = dictionary(spark.createDataFrame([(v,) for v in ("é", "a", "B", "_", "Z", "b")], "x string"))
@@ -305,6 +307,7 @@ def test_structural_errors(spark):
     for _ in range(4):
         graphs = [PDAG(7, [(u, v) for u in range(7) for v in range(7) if u != v and rng.random() < 0.25]) for _ in range(2)]
         row = metrics.structural_errors(*[g.edges(spark) for g in graphs]).first()
+        assert row.asDict() == metrics.structural_errors_of(*graphs)
         assert row["SHD"] == metrics.shd(*graphs) == row["ME"] + row["EE"] + row["ED"] + row["MD"] + row["RD"]
         for g in graphs:
             assert sorted(map(tuple, metrics.pattern(g.edges(spark)).collect())) == metrics.pattern_of(g).arcs()
@@ -436,3 +439,16 @@ def test_closure(spark):
     g = PDAG(20, arcs)
     got = {tuple(r) for r in graph.closure(g.edges(spark), spark.range(20)).collect()}
     assert got == {(s, t) for s, t in product(range(20), range(20)) if g.has_path(s, t)}
+
+
+def test_public_names(enc, frame):
+    from bnspark import api
+
+    assert all(hasattr(api, n) for n in api.__all__) and api.cuda_enabled is False
+    assert api.PDAG2CPDAG(networks.dag("asia")) == metrics.pattern_of(networks.dag("asia"))
+
+
+def test_statistics_need_one_exchange_by_slice(enc):
+    plan = ci_batch(enc, [(0, 1, (2,)), (0, 2, ())])._jdf.queryExecution().executedPlan().toString()
+    after = plan[: plan.index("REPARTITION_BY_COL")]
+    assert after.count("Exchange hashpartitioning") == 2  # by slice, and by test
