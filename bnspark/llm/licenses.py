@@ -206,7 +206,7 @@ def train(docs: DataFrame, bound: int = BACKGROUND_DOCS) -> Scanner:
     model_rows = materialize(rows, "fit")
     counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features").setBinary(True)
     model = LogisticRegression(family="multinomial", regParam=2e-4, elasticNetParam=0.5, maxIter=60).fit(
-        counter.transform(model_rows).select("label", "features")
+        counter.transform(model_rows.coalesce(1)).select("label", "features")  # a few thousand rows
     )
     weights = [float(x) for x in model.coefficientMatrix.toArray().ravel()]
     fitted = Scanner(whole.families, vocabulary, rare, weights, [float(b) for b in model.interceptVector.toArray()], 1.0, held)

@@ -105,7 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Posterior
     least = min(LEAST_DOCS, max(1, sum(seen.values()) // 50))  # fewer in small samples
     counted = CountVectorizer(inputCol="features", outputCol="x", minDF=least, vocabSize=VOCABULARY, binary=True).fit(rows)
     fitted = LogisticRegression(featuresCol="x", family="multinomial", regParam=2e-3, elasticNetParam=1.0, maxIter=80).fit(
-        counted.transform(rows).select("label", "x")
+        counted.transform(rows.coalesce(1)).select("label", "x")  # at most `sample` rows
     )
     drop(rows)
     drop(some)
@@ -115,7 +115,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Posterior
     w = np.vstack([w, np.zeros((k - len(w), w.shape[1]))])
     bias = [float(bias[j]) if j < len(bias) and seen.get(j) else -30.0 for j in range(k)]
     used = np.flatnonzero(np.abs(w).max(0) > 0)
-    return Posterior([counted.vocabulary[i] for i in used], [float(x) for x in w[:, used].ravel()], bias)
+    vocabulary = counted.vocabulary  # one transfer
+    return Posterior([vocabulary[i] for i in used], [float(x) for x in w[:, used].ravel()], bias)
 
 
 def rate_of(p: Column, steps: Sequence[Sequence[float]]) -> Column:

@@ -91,6 +91,8 @@ def _writer(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                 n += 1
         if sink:  # a file gets its name when it is whole; a second attempt replaces it by its like
             sink.close()
+            if fs.get_file_info(name).type != pafs.FileType.NotFound:
+                fs.delete_file(name)
             fs.move(scratch, name)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([name.rpartition("/")[2]]), pa.array([size]), pa.array([n])], names=["file", "bytes", "records"]
