@@ -27,7 +27,8 @@ from bnspark.llm.hamming import BLOCK, hamming_links, popcount, runs, starts_of
 MOST_BITS = 3
 SIMILARITY = 0.8
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # (shift, width)
-LINES_A_BLOCK = 200
+# Groups are cut into blocks of SMALL lines, MANY blocks at most while these stay below LARGE lines.
+SMALL, MANY, LARGE = 64, 32, 2_000
 NO_ID = -(1 << 63)  # stands for a null doc_id in keys
 # What white space there is beside single spaces between words, in UTF-8: if a text holds none of it, its
 # lines are normal as they are.
@@ -223,7 +224,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
 
 
-def kept_lines(docs: DataFrame, block: int = BLOCK, lines_a_block: int = LINES_A_BLOCK) -> DataFrame:
+def kept_lines(docs: DataFrame, block: int = BLOCK, small: int = SMALL, many: int = MANY) -> DataFrame:
     """docs (none, doc_id, doc, text) to (doc_id, doc, kept): of each document the positions of the lines
     that stay; doc is a hash that together with doc_id tells documents apart."""
     lines = docs.select("doc_id", "doc", "text").mapInArrow(_lines, "doc_id long, doc long, pos int, id binary, fp long")
@@ -247,7 +248,7 @@ def kept_lines(docs: DataFrame, block: int = BLOCK, lines_a_block: int = LINES_A
     holders = maybe_in(docs.select("doc_id", "doc", "text"), "doc", wanted.select("doc"), wanted.count())
     holders = holders.join(wanted, ["doc_id", "doc"])
     texts = holders.select("text", "wanted").mapInArrow(_texts, "comp long, members long, id binary, fp long, line string")
-    n = F.ceil(F.col("members") / lines_a_block).cast("int")
+    n = F.greatest(F.least(F.ceil(F.col("members") / small), F.lit(many)), F.ceil(F.col("members") / LARGE)).cast("int")
     mine = F.pmod(F.xxhash64("id"), n).cast("int")
     pair = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.least(j, mine) * n + F.greatest(j, mine))
     spread = texts.select("comp", F.explode(pair).alias("part"), "id", "fp", "line")

@@ -82,8 +82,8 @@ def test_line_dedup_matches_brute_force(spark):
     assert fuzzy > 20
 
 
-@pytest.mark.parametrize("block,lines_a_block", [(3, 2), (20_000, 512)])
-def test_blocks_of_hot_groups_lose_nothing(spark, block, lines_a_block):
+@pytest.mark.parametrize("block,small,many", [(3, 2, 100), (5, 3, 4), (20_000, 64, 32)])
+def test_blocks_of_hot_groups_lose_nothing(spark, block, small, many):
     rng = random.Random(4)
     words = ["word%d" % i for i in range(120)]
     rows = []
@@ -92,7 +92,7 @@ def test_blocks_of_hot_groups_lose_nothing(spark, block, lines_a_block):
         near[rng.randrange(120)] = "other%d" % i
         rows.append((i, " ".join(near)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "xxhash64(text) doc", "text")
-    kept = {(r.doc_id): r.kept for r in line_dedup.kept_lines(docs, block, lines_a_block).collect()}
+    kept = {(r.doc_id): r.kept for r in line_dedup.kept_lines(docs, block, small, many).collect()}
     want = brute_kept(rows)
     assert kept == {i: [0] for (_, i, _), gone in want.items() if not gone}
 
