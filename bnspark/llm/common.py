@@ -13,6 +13,7 @@ __all__ = ["drop", "materialize", "new_path", "shared_dir"]
 BROADCAST_ROWS = 500_000
 # A key that holds at least one in HOT_SHARE rows is hot, so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 1_000
+BATCH_ROWS = 1_000
 MOST_BITMAP = 27  # as a power of two, bits
 
 
@@ -101,5 +102,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows, unless the session asks for another size than Spark's default:
+    texts are long, and each batch is held by the JVM and by Python at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -82,8 +82,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Fitted:
     both = np.concatenate([positive, unlabelled])
     if not len(positive) or not len(unlabelled):
         return Fitted(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH), float(np.log(prior / (1 - prior))), prior)
-    mean, scale = both.mean(0), both.std(0) + 1e-2
-    p, u = ((x - mean) / scale for x in (positive, unlabelled))
+    mean, scale = both.mean(0, dtype=np.float64), both.std(0, dtype=np.float64) + 1e-2
+    p, u = (((x - mean) / scale).astype(np.float32) for x in (positive, unlabelled))
     w, b = np.zeros(WIDTH), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(WIDTH + 1), np.zeros(WIDTH + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -117,7 +117,7 @@ def _sampled(docs: DataFrame, ids: DataFrame) -> np.ndarray:
     few = F.broadcast(ids.distinct())
     got = docs.join(few, "doc_id", "left_semi").mapInArrow(_features, "doc_id long, x binary")
     rows = sorted((r[0], bytes(r[1])) for r in got.dropDuplicates(["doc_id"]).collect())
-    return np.array([np.frombuffer(x, np.float32) for _, x in rows], np.float64).reshape(-1, WIDTH)
+    return np.frombuffer(b"".join([x for _, x in rows]), np.float32).reshape(-1, WIDTH)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Fitted:

@@ -28,7 +28,8 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 SPACE = "▁"
 NORMAL, BYTE = 1, 6
-MOST_WORDS, LONGEST_WORD, MOST_PAIRS = 300_000, 48, 500_000
+MOST_WORDS, LONGEST_WORD, MOST_PAIRS = 200_000, 48, 300_000
+SEEN_MASK = (1 << 23) - 1
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -110,6 +111,7 @@ class Model:
         self.words = re.compile(rf" +[^ {breaks}]*|{breaks or '$'}|[^ {breaks}]+")
         self.marks = {c: (self.ids[c], c.encode()) for c in ".,;:!?)\"'" if c in self.chars}
         # Words and what parts() gives for them, in two generations: the older is dropped as a whole.
+        self.seen, self.marked = bytearray((SEEN_MASK + 1) >> 3), 0  # bits of words seen before
         self.young: dict[str, tuple[str, bytes]] = {}
         self.old: dict[str, tuple[str, bytes]] = {}
 
@@ -214,9 +216,16 @@ class Model:
             ids = self.word(w.replace(" ", SPACE))
             got = ",".join(map(str, ids)), b"".join([self.text[i] for i in ids])
         if len(w) <= LONGEST_WORD:
-            if len(self.young) >= MOST_WORDS:
-                self.old, self.young = self.young, {}
-            self.young[w] = got
+            at = hash(w) & SEEN_MASK
+            if self.seen[at >> 3] >> (at & 7) & 1:
+                if len(self.young) >= MOST_WORDS:
+                    self.old, self.young = self.young, {}
+                self.young[w] = got
+            else:  # words that occur once make up most of a text's different words and are not kept
+                self.seen[at >> 3] |= 1 << (at & 7)
+                self.marked += 1
+                if self.marked > SEEN_MASK // 4:
+                    self.seen, self.marked = bytearray(len(self.seen)), 0
         return got
 
     def parts(self, text: str) -> list[tuple[str, bytes]]:
