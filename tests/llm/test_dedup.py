@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from bnspark.llm import common, exact_dedup, hamming, line_dedup, simhash
+from bnspark.llm import common, exact_dedup, hamming, line_dedup, near_copies, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, key int, `a.b` string, count long"
 
@@ -233,6 +233,49 @@ def test_keep_one(spark):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+# Near-copies by shingles.
+
+
+def brute_groups(rows, shingle=5):
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))})
+    comp = list(range(len(rows)))
+
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    links = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                comp[find(i)] = find(j)
+                links += sets[i] != sets[j]
+    return [find(k) for k in range(len(rows))], links
+
+
+@pytest.mark.parametrize("block", [2_000, 3])
+def test_near_copies_match_brute_force_on_jaccard(spark, block):
+    rng = random.Random(8)
+    vocab = ["v%d" % i for i in range(400)]
+    rows = []
+    for g in range(25):
+        base = [rng.choice(vocab) for _ in range(rng.randrange(3, 300))]
+        for _ in range(4):
+            own = list(base)
+            for _ in range(rng.randrange(1 + len(base) // 25)):
+                own[rng.randrange(len(own))] = rng.choice(vocab)
+            rows.append((len(rows), " ".join(own[rng.randrange(2) :])))
+    rows += [(500, None), (501, " "), (502, rows[0][1].upper())]
+    groups, links = brute_groups(rows)
+    assert links > 20
+    got = {r.doc_id for r in near_copies.one_of_each(table(spark, rows), block=block).collect()}
+    assert got == {rows[k][0] for k in {g: k for k, g in reversed(list(enumerate(groups)))}.values()}
+
+
 # Plumbing.
 
 
