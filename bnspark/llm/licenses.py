@@ -2,10 +2,10 @@
 
 A paragraph is a line.  A sparse multinomial logistic regression over word 1- and 2-grams is fitted to
 the templates below, in many damaged variants, against paragraphs of a bounded sample of the corpus as the
-class `unknown`.  Only n-grams with a word that is rare in that sample are features, so a paragraph
+class `unknown`.  Only n-grams with a word that is rare in the whole corpus are features, so a paragraph
 without any such word has no feature and a constant score; the others are scored inside their row, and
-nothing is shuffled.  A family is predicted if its probability reaches a threshold calibrated on
-held-out background paragraphs, and counts only if a template of that family is found in the paragraph.
+no text is shuffled.  A family is predicted if its probability reaches a threshold calibrated on
+all background paragraphs that were not fitted on, and counts only if a template of that family is found in the paragraph.
 """
 
 from __future__ import annotations
@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 
 from bnspark.llm.common import drop, materialize
 
-BACKGROUND_DOCS = 400  # documents, at most, whose paragraphs are fitted and calibrated on
+BACKGROUND_DOCS = 400  # documents, at most, whose paragraphs are fitted on
 RARE = 0.01  # share of background paragraphs below which a word is rare
 CONTAINED = 0.7  # share of a template's word pairs that a paragraph must hold
 LEAST_PROBABILITY = 0.5
 FALSE_RATE = 0.001  # of background paragraphs
+STEPS = 10_000  # of probabilities, when they are counted
 UNKNOWN = "unknown"
 # Short public licence notices by family.
 TEMPLATES = [
@@ -167,15 +168,67 @@ def _held(spark: SparkSession) -> list[tuple[str, list[str]]]:
     return [(r["family"], r["p"]) for r in rows]
 
 
+def _sampled(docs: DataFrame, bound: int) -> DataFrame:
+    return docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+
+
 def _background(docs: DataFrame, bound: int) -> DataFrame:
     """Paragraphs of at most `bound` documents (those with the smallest hash of their id), in which none
     of the templates is contained."""
-    ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    some = docs.join(F.broadcast(ids), "doc_id", "left_semi")
+    some = docs.join(F.broadcast(_sampled(docs, bound)), "doc_id", "left_semi")
     lines = some.select(F.explode(F.split("text", "\n")).alias("text")).where("trim(text) <> ''").distinct()
     return lines.withColumn("tokens", words(F.col("text")))
 
 
+def _paragraphs(docs: DataFrame) -> DataFrame:
+    """Every paragraph of every document, repeats included: doc_id, text, tokens."""
+    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("text")).where("trim(text) <> ''")
+    return lines.withColumn("tokens", words(F.col("text")))
+
+
+def rare_words(docs: DataFrame, held: list[tuple[str, list[str]]]) -> list[str]:
+    """Words of the templates that less than RARE of all paragraphs hold in which no template is contained.
+    What leaves a task is a count for each word of a template, and one of its paragraphs."""
+    mine = _templates(docs.sparkSession).select(F.explode(words(F.col("text"))).alias("w")).distinct()
+    used = sorted(r[0] for r in mine.collect())  # of the templates alone
+    known = sorted({p for _, held_pairs in held for p in held_pairs})
+    seen = _paragraphs(docs).select("tokens", F.array_intersect("tokens", _literal(used, "string")).alias("w"))
+    seen = seen.select("w", F.when(F.size("w") > 1, F.array_intersect(pairs(F.col("tokens")), _literal(known, "string"))).alias("p"))
+    found = [F.size(F.array_intersect(_literal(p, "string"), F.col("p"))) / len(p) for _, p in held]
+    background = seen.where(F.col("p").isNull() | (F.size("p") == 0) | (F.greatest(*found) < CONTAINED))
+    often = {r["w"]: r["count"] for r in background.select(F.explode(F.array_append("w", "\n")).alias("w")).groupBy("w").count().collect()}
+    n = max(often.get("\n", 0), 1)  # the line feed stands for the paragraph
+    return [w for w in used if often.get(w, 0) < RARE * n]
+
+
+def calibrated(docs: DataFrame, fitted: Scanner, sampled: list[int]) -> float:
+    """The probability that FALSE_RATE of all background paragraphs reach, but those that were fitted on
+    (half of the sampled documents').  Scores are counted in steps; paragraphs without a feature are scored once."""
+    split = F.pmod(F.xxhash64(F.lit(7), F.col("text")), F.lit(2))
+    was_fitted = F.coalesce(F.col("doc_id").isin(sampled), F.lit(False)) & (split == 0)
+    lines = _paragraphs(docs).where(~was_fitted)
+    rare = _literal(fitted.rare, "string")
+    none = F.array().cast("array<string>")
+    tokens = F.when(F.arrays_overlap("tokens", rare), F.col("tokens")).otherwise(none)
+    counted = lines.select(tokens.alias("tokens"))
+    total = counted.groupBy((F.size("tokens") > 0).alias("scored")).count().collect()
+    plain = sum(r["count"] for r in total if not r["scored"])
+    found = [F.size(F.array_intersect(_literal(p, "string"), pairs(F.col("tokens")))) / len(p) for _, p in fitted.marks]
+    some = counted.where((F.size("tokens") > 0) & (F.greatest(*found) < CONTAINED))
+    one = docs.sparkSession.range(1).select(none.alias("tokens"))
+    score = lambda df: df.select(fitted.classify(F.array(F.struct(F.lit(0).alias("line"), "tokens")))[0]["probability"].alias("p"))
+    steps = {r["s"]: r["count"] for r in score(some).groupBy(F.floor(F.col("p") * STEPS).alias("s")).count().collect()}
+    flat = int(score(one).first()["p"] * STEPS)
+    steps[flat] = steps.get(flat, 0) + plain
+    over = FALSE_RATE * sum(steps.values())
+    above = 0
+    for s in sorted(steps, reverse=True):
+        above += steps[s]
+        if above > over:
+            return s / STEPS
+    return 0.0
+
+
 def train(docs: DataFrame, bound: int = BACKGROUND_DOCS) -> Scanner:
     spark = docs.sparkSession
     held = _held(spark)
@@ -183,11 +236,8 @@ def train(docs: DataFrame, bound: int = BACKGROUND_DOCS) -> Scanner:
     whole = Scanner([*names, UNKNOWN], [], [], [], [], 1.0, held)
     found = [F.size(F.array_intersect(_literal(p, "string"), pairs(F.col("tokens")))) / len(p) for _, p in held]
     paragraphs = materialize(_background(docs, bound).where(F.greatest(*found) < CONTAINED).select("text", "tokens"), "background")
-    n = max(paragraphs.count(), 1)
-    often = paragraphs.select(F.explode(F.array_distinct("tokens")).alias("w")).groupBy("w").count()
+    rare = rare_words(docs, held)
     mine = _templates(spark).select(words(F.col("text")).alias("tokens"))
-    used = mine.select(F.explode("tokens").alias("w")).distinct()
-    rare = sorted(r[0] for r in used.join(often, "w", "left").where(F.coalesce("count", F.lit(0)) < RARE * n).select("w").collect())
     every = [r[0] for r in mine.select(F.explode(grams(F.col("tokens")))).distinct().collect()]  # of the templates alone
     vocabulary = sorted(g for g in every if set(g.split(" ")) & set(rare))
     # Damaged variants: without one word, without the words from some place on, between other words.
@@ -210,12 +260,10 @@ def train(docs: DataFrame, bound: int = BACKGROUND_DOCS) -> Scanner:
     )
     weights = [float(x) for x in model.coefficientMatrix.toArray().ravel()]
     fitted = Scanner(whole.families, vocabulary, rare, weights, [float(b) for b in model.interceptVector.toArray()], 1.0, held)
-    seen = paragraphs.where(split == 1).select(F.array(F.struct(F.lit(0).alias("line"), "tokens")).alias("s"))
-    top = seen.select(fitted.classify(F.col("s"))[0]["probability"].alias("p"))
-    edge = top.agg(F.percentile_approx("p", 1 - FALSE_RATE, 10_000)).first()[0]
+    edge = calibrated(docs, fitted, [r[0] for r in _sampled(docs, bound).collect()])  # at most `bound` ids
     drop(paragraphs)
     drop(model_rows)
-    return Scanner(fitted.families, vocabulary, rare, weights, fitted.bias, max(LEAST_PROBABILITY, edge or 0.0), held)
+    return Scanner(fitted.families, vocabulary, rare, weights, fitted.bias, max(LEAST_PROBABILITY, edge), held)
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = BACKGROUND_DOCS) -> DataFrame:

@@ -92,6 +92,19 @@ def test_license_scan(spark):
     assert licenses.license_scan(docs.limit(0)).count() == 0
 
 
+def test_rare_license_words_are_counted_in_all_documents(spark):
+    """Licence words fill the one sampled document and no other: they stay features."""
+    rows = [(i, "\n".join(f"plain words of row {i} line {k}" for k in range(60))) for i in range(30)]
+    first = licenses._sampled(table(spark, rows).select("doc_id", "text"), 1).first()[0]
+    hot = "the mit licence or license of general software under a version"
+    rows = [(i, "\n".join(f"{hot} {k}" for k in range(10)) if i == first else t) for i, t in rows]
+    rows += [(1_000 + i, "Released under the MIT License.") for i in range(3)]
+    docs = table(spark, rows).select("doc_id", "text")
+    rare = licenses.rare_words(docs, licenses._held(spark))
+    assert {"mit", "license", "software"} <= set(rare) and "of" not in rare
+    assert licenses.train(docs, 1).rare == rare
+
+
 # URLs.
 
 RULES = [url_filter.split_rule(*r) for r in (("com/en/", "block"), ("example.com/en/7", "allow"), ("a.net/", "allow"), ("b.net/", "block"), ("b.net/", "allow"))]
