@@ -276,6 +276,13 @@ def test_near_copies_match_brute_force_on_jaccard(spark, block):
     assert got == {rows[k][0] for k in {g: k for k, g in reversed(list(enumerate(groups)))}.values()}
 
 
+def test_near_copies_go_by_row_not_by_id(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(1, a), (5, a + " end"), (5, b), (7, c), (7, c), (None, c + " end"), (None, "alone")]
+    got = [(r.doc_id, r.text) for r in near_copies.one_of_each(table(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (5, b), (7, c), (None, "alone")], key=str)
+
+
 # Plumbing.
 
 
