@@ -64,12 +64,26 @@ def attach(rows: DataFrame, table: DataFrame, key: str, count: str, total: int)
     )
 
 
+def _to_roots(hook: DataFrame) -> DataFrame:
+    """hook (node, up), a forest of materialized pointers, with each node pointing to its root.  Every step
+    doubles the distance a pointer spans, so a path of n nodes takes about log2(n) of them."""
+    while True:
+        over = hook.where("node <> up").select(F.col("node").alias("up"), F.col("up").alias("over"))
+        step = hook.join(maybe_broadcast(over), "up", "left")
+        step = materialize(step.select("node", F.coalesce("over", "up").alias("up"), F.col("over").isNotNull().alias("moved")), "hook")
+        drop(hook)
+        if step.where("moved").isEmpty():
+            return step
+        hook = step
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of the undirected graph with edges (a, b) of any orderable type.
 
     Returns (node, component), component being the smallest node that can be reached, for each node
-    with an edge to another.  Each round hooks every node to its smallest neighbour and contracts
-    the graph, so the edges shrink geometrically; what is hooked is one row for each node, so a hub
+    with an edge to another.  Each round hooks every node to its smallest neighbour, follows these
+    pointers to their roots by doubling, and contracts the graph to the roots: at least two nodes
+    become one, so the nodes with edges halve at least.  What is hooked is one row for each node, so a hub
     never meets in one task: its neighbours are reduced by a partial minimum.  No edge: no row."""
     least = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     live = materialize(least(edges).where("a < b").distinct(), "edges")
@@ -78,7 +92,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while not live.isEmpty():
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy("a").agg(F.min("b").alias("b"))
-        hook = materialize(near.select(F.col("a").alias("node"), F.least("a", "b").alias("up")), "hook")
+        hook = _to_roots(materialize(near.select(F.col("a").alias("node"), F.least("a", "b").alias("up")), "hook"))
         if labels is None:
             new = materialize(hook.select("node", F.col("up").alias("component")), "labels")
         else:

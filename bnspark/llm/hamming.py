@@ -83,6 +83,8 @@ def _links(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, ["key", "part"]):
             key, part, signed = (t.column(c).to_numpy() for c in ("key", "part", "fp"))
+            once = starts_of([key, part, signed])[:-1]  # repeats follow each other
+            key, part, signed = key[once], part[once], signed[once]
             fp = signed.view(np.uint64)
             at = starts_of([key, part])
             size = np.diff(at)
@@ -123,8 +125,9 @@ def _big_keys(keyed: DataFrame, block: int) -> DataFrame | None:
 def hamming_links(keyed: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) between fingerprints at most `most` bits apart that share a key: of each key a
     spanning forest, so that no link between groups is lost and no group is written as all its
-    pairs.  keyed has (key long, fp long) without repeats.  Keys with more than `block`
-    fingerprints are spread over pairs of blocks; each pair of blocks is a task's unit."""
+    pairs.  keyed has (key long, fp long).  Keys with more than `block`
+    fingerprints are spread over pairs of blocks; each pair of blocks is a task's unit.  Rows of keyed may
+    repeat."""
     big = _big_keys(keyed, block)
     if big is None:
         parts = keyed.withColumn("part", F.lit(0))

@@ -1,22 +1,27 @@
 """Fuzzy deduplication of lines.
 
 Lines are normalised (lower case, single spaces) and equal ones are brought together by a 128-bit hash,
-with their first occurrence.  Different lines get a 64-bit SimHash of their different
-words.  Fingerprints at most
-three bits apart agree in at least two of five blocks, so each pair of blocks is a key; what shares a
-key is compared, and connected fingerprints bound the candidates.  The lines of such a group are
-compared by their edit similarity where their fingerprints are close.  Of each group that links of at
-least SIMILARITY connect the first occurrence stays.
+with their first occurrence.  A line's tokens are its words, with the number of their occurrence where that
+is a power of two: the, the 2, the 4.  So a word counts more if it is repeated, but lines of common words are
+not all alike.  A word of over LONG bytes, such as an address or text without blanks, is cut where its own
+bytes say so, and the pieces count as words.
+
+Different lines get a 64-bit SimHash of their tokens, and KEYS blocks.  Each block is voted on by a sample of
+SAMPLE tokens alone, those that come first in the block's own order of all tokens, so an edit spoils
+the blocks whose sample it meets and no other, and two lines that are alike keep one in common.  (A SimHash
+whose bits every token votes on spreads an edit over all blocks: at an edit similarity of 0.8 it differs in
+ten and more of 64 bits, which leaves no block to join on.)  Lines that share a block and differ in at most
+MOST_BITS bits of the SimHash are candidates; connected candidates are compared by their edit similarity.
+Of each group that links of at least SIMILARITY connect the first occurrence stays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 from xxhash import xxh3_128_digest
@@ -24,9 +29,12 @@ from xxhash import xxh3_128_digest
 from bnspark.llm.common import connected_components, drop, materialize, maybe_broadcast, maybe_in
 from bnspark.llm.hamming import BLOCK, hamming_links, popcount, runs, starts_of
 
-MOST_BITS = 3
 SIMILARITY = 0.8
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # (shift, width)
+KEYS, SAMPLE = 10, 5
+# Of the lines with a similarity of SIMILARITY some in a thousand differ in more bits, and of lines that have
+# nothing in common as many in less.
+MOST_BITS = 20
+LONG, PIECE = 16, 2  # bytes of a word that stays whole; a longer one is cut at one place in PIECE, on average
 # Groups are cut into blocks of SMALL lines, MANY blocks at most while these stay below LARGE lines.
 SMALL, MANY, LARGE = 64, 32, 2_000
 NO_ID = -(1 << 63)  # stands for a null doc_id in keys
@@ -60,37 +68,70 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of data, which single spaces or line feeds part, and the words' starts: of
-    the first and the last eight bytes of a word and its length."""
+# Odd factors: a token's place in an order is its hash times the order's factor.
+ORDERS = (_mixed(np.arange(1, KEYS * SAMPLE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)).reshape(KEYS, SAMPLE)
+
+
+def _cuts(raw: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Where words of over LONG bytes are cut: at characters that follow four bytes whose hash says so, and
+    then every LONG bytes where a piece is still longer."""
+    some = np.flatnonzero(size > LONG)
+    if not len(some):
+        return np.empty(0, np.int64)
+    n = size[some]
+    base = np.repeat(starts[some] - np.append(0, np.cumsum(n)[:-1]), n)
+    at = base + np.arange(len(base))
+    at = at[(raw[at] & 0xC0) != 0x80]
+    first = np.repeat(starts[some], n)[np.searchsorted(base + np.arange(len(base)), at)]
+    at = at[at - first >= 4]
+    four = np.zeros(len(at), np.uint64)
+    for k in range(1, 5):
+        four = four << np.uint64(8) | raw[at - k].astype(np.uint64)
+    soft = at[_mixed(four) % np.uint64(PIECE) == 0]
+    edges = np.union1d(soft, starts[some])
+    ends = np.minimum(np.append(edges[1:], len(raw)), (starts + size)[np.searchsorted(starts, edges, side="right") - 1])
+    more = (ends - edges - 1) // LONG
+    hard = np.repeat(edges, more) + LONG * (1 + np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more))
+    return np.union1d(soft, hard)
+
+
+def token_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of data, whose words single spaces or line feeds part, and the tokens' starts.
+    A token has at most LONG bytes, so its length with its first and last eight is all of it."""
     padded = b"\0" * 8 + data + b"\0" * 8
     raw = np.frombuffer(data, np.uint8)
     ends = np.append(np.flatnonzero((raw == 32) | (raw == 10)), len(raw))
     starts = np.append(0, ends[:-1] + 1)
+    cuts = _cuts(raw, starts, ends - starts)
+    if len(cuts):
+        starts, ends = np.sort(np.append(starts, cuts)), np.sort(np.append(ends, cuts))
     size = ends - starts
     eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
     head = eight[starts + 8] & KEEP[np.minimum(size, 8)]
     tail = np.where(size > 8, eight[ends], np.uint64(0))
-    return _mixed(head * np.uint64(0x9E3779B97F4A7C15) + tail + size.astype(np.uint64)), starts
+    return _mixed(_mixed(head + np.uint64(0x9E3779B97F4A7C15)) + tail * np.uint64(0xD6E8FEB86659FD93) + size.astype(np.uint64)), starts
 
 
-def simhashes(lines: list[bytes]) -> np.ndarray:
-    """SimHash of the different words of each line; no line is blank."""
-    out = []
+def fingerprints(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """SimHash of the tokens of each line, and the KEYS hashes of its blocks; no line is blank."""
+    out, blocks = [], []
     at = 0
     while at < len(lines):  # stretches of about a megabyte
         stop, size = at, 0
         while stop < len(lines) and size < 1 << 20:
             size += len(lines[stop])
             stop += 1
-        h, starts = word_hashes(b"\n".join(lines[at:stop]))
+        h, starts = token_hashes(b"\n".join(lines[at:stop]))
         firsts = np.append(0, np.cumsum([len(x) + 1 for x in lines[at : stop - 1]])).astype(np.int64)
         of = np.zeros(len(h), np.uint64)
         of[np.searchsorted(starts, firsts)[1:]] = 1
         each = np.sort(np.cumsum(of, dtype=np.uint64) << np.uint64(44) | (h & LOW44))  # line after line
-        each = each[np.append(True, each[1:] != each[:-1])]
+        new = np.append(True, each[1:] != each[:-1])
+        nth = (np.arange(1, len(each) + 1) - np.maximum.accumulate(np.where(new, np.arange(len(each)), 0))).astype(np.uint64)
+        stay = (nth & (nth - np.uint64(1))) == 0
+        each, nth = each[stay], nth[stay]
         line = each >> np.uint64(44)
-        g = _mixed((each & LOW44) + np.uint64(0x9E3779B97F4A7C15))
+        g = _mixed((each & LOW44) + nth * np.uint64(0x9E3779B97F4A7C15))
         # Eight sums of bytes in each of eight words: pieces of at most 255 words don't overflow.
         first = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
         words = np.diff(np.append(first, len(g)))
@@ -103,20 +144,16 @@ def simhashes(lines: list[bytes]) -> np.ndarray:
             counts[:, :, bit] = np.add.reduceat(sums.view(np.uint8).reshape(-1, 8), of_line, axis=0, dtype=np.int64)
         bits = counts.reshape(-1, 64) * 2 > words[:, None]
         out.append(np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel())
+        own = np.empty((len(first), KEYS), np.uint64)
+        for k in range(KEYS):
+            own[:, k] = k
+            for by in ORDERS[k]:
+                own[:, k] = _mixed(own[:, k] + np.minimum.reduceat(g * by, first))
+        blocks.append(own)
         at = stop
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
-
-
-def block_keys(fp: Column) -> Column:
-    """A key for each pair of blocks, all of 64-bit fingerprints."""
-    keys = []
-    for n, pair in enumerate(combinations(range(len(BLOCKS)), 2)):
-        key = F.lit(n).cast("long")
-        for b in pair:
-            shift, width = BLOCKS[b]
-            key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1).cast("long")))
-        keys.append(key)
-    return F.array(*keys)
+    if not out:
+        return np.empty(0, np.uint64), np.empty((0, KEYS), np.uint64)
+    return np.concatenate(out), np.concatenate(blocks)
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -164,15 +201,17 @@ def alike(a: str, b: str, least: float = SIMILARITY) -> bool:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "doc", "pos", "id", "fp"]
+    names = ["doc_id", "doc", "pos", "id", "fp", "keys"]
     for batch in batches:
         doc, pos, lines = [], [], []
 
         def out(doc=doc, pos=pos, lines=lines, batch=batch) -> pa.RecordBatch:
             of = pa.array(doc, pa.int64())
-            fp = simhashes(lines).view(np.int64)
+            fp, keys = fingerprints(lines)
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(0, KEYS * len(lines) + 1, KEYS), pa.int32()), pa.array(keys.view(np.int64).ravel()))
             cols = [batch.column(0).take(of), batch.column(1).take(of), pa.array(pos, pa.int32())]
-            return pa.RecordBatch.from_arrays([*cols, pa.array(list(map(xxh3_128_digest, lines)), pa.binary()), pa.array(fp)], names=names)
+            ids = pa.array(list(map(xxh3_128_digest, lines)), pa.binary())
+            return pa.RecordBatch.from_arrays([*cols, ids, pa.array(fp.view(np.int64)), keys], names=names)
 
         for i, text in enumerate(batch.column(2)):
             found = [(p, line) for p, line in enumerate(normal_lines(text.as_py() or "")) if line]
@@ -227,11 +266,12 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def kept_lines(docs: DataFrame, block: int = BLOCK, small: int = SMALL, many: int = MANY) -> DataFrame:
     """docs (none, doc_id, doc, text) to (doc_id, doc, kept): of each document the positions of the lines
     that stay; doc is a hash that together with doc_id tells documents apart."""
-    lines = docs.select("doc_id", "doc", "text").mapInArrow(_lines, "doc_id long, doc long, pos int, id binary, fp long")
+    lines = docs.select("doc_id", "doc", "text").mapInArrow(_lines, "doc_id long, doc long, pos int, id binary, fp long, keys array<long>")
     place = F.struct((F.col("doc_id") == NO_ID).alias("none"), "doc_id", "doc", "pos")  # null ids come last
-    groups = materialize(lines.groupBy("id").agg(F.min(place).alias("first"), F.min("fp").alias("fp")), "groups")
+    groups = lines.groupBy("id").agg(F.min(place).alias("first"), F.min("fp").alias("fp"), F.first("keys").alias("keys"))
+    groups = materialize(groups, "groups")
     nodes = groups.groupBy("fp").agg(F.count("*").alias("ids"))
-    keyed = nodes.select(F.explode(block_keys(F.col("fp"))).alias("key"), "fp")
+    keyed = groups.select(F.explode("keys").alias("key"), "fp")
     coarse = connected_components(hamming_links(keyed, MOST_BITS, block)).select(F.col("node").alias("fp"), "component")
     shared = nodes.where("ids > 1").select("fp")
     inside = coarse.unionByName(shared.join(coarse, "fp", "left_anti").select("fp", F.col("fp").alias("component")))

@@ -36,7 +36,7 @@ def texts(seed=0):
 
 
 def brute_kept(rows):
-    """Positions that stay, for each different (doc_id, text)."""
+    """Positions that go, for each different (doc_id, text), by the edit similarity of all pairs of lines."""
     docs = sorted({(i is None, i or 0, t or "") for i, t in rows})
     first, order = {}, []
     for k, (_, _, t) in enumerate(docs):
@@ -46,7 +46,11 @@ def brute_kept(rows):
                 first.setdefault(n, (k, p))
                 order.append((k, p, n))
     lines = list(first)
-    fp = line_dedup.simhashes(lines)
+    bags = np.zeros((len(lines), 512), np.int32)
+    for k, n in enumerate(lines):
+        for c in n.decode():
+            bags[k, ord(c) % 512] += 1
+    size = bags.sum(1)
     root = list(range(len(lines)))
 
     def find(x):
@@ -54,9 +58,10 @@ def brute_kept(rows):
             x = root[x]
         return x
 
-    for i in range(len(lines)):
-        for j in range(i):
-            if int(fp[i] ^ fp[j]).bit_count() <= line_dedup.MOST_BITS and line_dedup.alike(lines[i].decode(), lines[j].decode()):
+    for i in range(len(lines)):  # an edit changes a bag of characters by one at each side, at most
+        less = np.maximum(bags[:i], bags[i]).sum(1) - np.minimum(size[:i], size[i])
+        for j in np.flatnonzero(less <= (1 - line_dedup.SIMILARITY) * np.maximum(size[:i], size[i]) + 1e-6):
+            if find(i) != find(j) and line_dedup.alike(lines[i].decode(), lines[j].decode()):
                 root[find(i)] = find(j)
     best = {}
     for i, n in enumerate(lines):
@@ -120,8 +125,59 @@ def test_normal_lines_and_distances():
                 new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
             row = new
         assert line_dedup.edit_distance(a, b) == row[-1]
-    lines = [b"a b c", b"x", b"many " * 700 + b"words", b"a b c"]
-    assert list(line_dedup.simhashes(lines)) == [int(line_dedup.simhashes([x])[0]) for x in lines]
+    long = "これは空白のない長い行です。一文字だけ違う行を見つけます。".encode()
+    lines = [b"a b c", b"x", b"many " * 700 + b"words", b"a b c", long, b"y" * 100, long + b" " + long]
+    fp, keys = line_dedup.fingerprints(lines)
+    for x, f, k in zip(lines, fp, keys):
+        own = line_dedup.fingerprints([x])
+        assert own[0][0] == f and (own[1][0] == k).all()
+    h, starts = line_dedup.token_hashes(b"\n".join(lines))
+    assert max(np.diff(starts)) <= line_dedup.LONG + 1
+
+
+def test_all_bytes_of_a_word_count():
+    a, b = (b"http://example.com/" + x * 20 + b"/the/end/of/the/address" for x in (b"ab", b"cd"))
+    fp, keys = line_dedup.fingerprints([a, b])
+    assert int(fp[0] ^ fp[1]).bit_count() > 8
+    a, b = ("これは空白のない長い行です。" + x + "一文字だけ違う行を見つけます。長い行には部分がいくつもあります。" for x in ("", "新"))
+    fp, keys = line_dedup.fingerprints([a.encode(), b.encode()])
+    assert int(fp[0] ^ fp[1]).bit_count() <= line_dedup.MOST_BITS and (keys[0] == keys[1]).any()
+
+
+@pytest.mark.parametrize("n", [8, 12, 20, 40])
+def test_recall_of_lines_with_a_word_replaced(n):
+    """At least 0.9 of the pairs whose edit similarity is high enough share a block and are close."""
+    rng = random.Random(n)
+    vocab = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 11))) for _ in range(3_000)]
+    a, b = [], []
+    for _ in range(2_000):
+        own = [rng.choice(vocab) for _ in range(n)]
+        other = list(own)
+        for _ in range(max(1, n // 15)):
+            other[rng.randrange(n)] = rng.choice(vocab)
+        if line_dedup.alike(" ".join(own), " ".join(other)):
+            a.append(" ".join(own).encode())
+            b.append(" ".join(other).encode())
+    (fa, ka), (fb, kb) = line_dedup.fingerprints(a), line_dedup.fingerprints(b)
+    found = (np.bitwise_count(fa ^ fb) <= line_dedup.MOST_BITS) & (ka == kb).any(1)
+    assert len(a) > 1_500 and found.mean() >= 0.9
+
+
+def test_recall_on_documents(spark):
+    """Against all pairs of lines by edit similarity: nothing else goes, and at least 0.9 of what is to go."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").where("doc_id < 120")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = {i: set(gone) for (_, i, _), gone in brute_kept(rows).items()}
+    got = {r.doc_id: set(r.dropped) for r in line_dedup.line_report(docs).collect()}
+    assert all(got[i] <= want[i] for i in want)
+    exact, seen = 0, set()
+    for i, t in sorted(rows):
+        for line in (t or "").split("\n"):
+            n = line_dedup.normalised(line)
+            exact += bool(n) and n in seen
+            seen.add(n)
+    fuzzy = sum(map(len, want.values())) - exact
+    assert fuzzy > 20 and sum(map(len, got.values())) - exact >= 0.9 * fuzzy
 
 
 # Exact.
@@ -311,7 +367,16 @@ def test_connected_components(spark, kind):
     got = common.connected_components(spark.createDataFrame([(name(u), name(v)) for u, v in edges], f"a {kind}, b {kind}"))
     linked = {v for e in edges if e[0] != e[1] for v in e}
     assert {r.node: r.component for r in got.collect()} == {name(v): name(find(v)) for v in linked}
+
+
+def test_components_of_a_path_take_few_rounds(spark, monkeypatch):
+    made = []
+    own = common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, name: made.append(name) or own(df, name))
+    got = common.connected_components(spark.range(1000).selectExpr("id as a", "id + 1 as b"))
+    assert got.where("component <> 0").isEmpty() and got.count() == 1001
     assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert made.count("edges") == 3 and made.count("hook") <= 12  # the first hook, and doublings
 
 
 def test_attach_spreads_hot_keys(spark):
