@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bnspark.llm.common import drop, materialize
+from bnspark.llm.common import connected_components, drop, materialize
 
 # A key with more distinct fingerprints than this is compared in pairs of blocks of this size.
 BLOCK = 20_000
@@ -144,3 +144,28 @@ def hamming_links(keyed: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
         .sortWithinPartitions("key", "part", "fp")
         .mapInArrow(_links(most), "a long, b long")
     )
+
+
+def coarse_groups(rows: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
+    """(fp, component) for the fingerprints of rows (fp, keys array<long>) that may have a partner: those that
+    links of at most `most` bits between fingerprints with a common key connect, and those of several rows."""
+    nodes = rows.groupBy("fp").agg(F.count("*").alias("rows"))
+    links = hamming_links(rows.select(F.explode("keys").alias("key"), "fp"), most, block)
+    linked = connected_components(links).select(F.col("node").alias("fp"), "component")
+    shared = nodes.where("rows > 1").select("fp")
+    alone = shared.join(linked, "fp", "left_anti").select("fp", F.col("fp").alias("component"))
+    out = materialize(linked.unionByName(alone), "coarse")
+    drop(linked)
+    return out
+
+
+def spread(rows: DataFrame, node: str, small: int, many: int, large: int) -> DataFrame:
+    """rows (comp, members, node and others) without members, each once for every part of its group's work:
+    a group of more than `small` members is cut into blocks, `many` at most while these stay below `large`,
+    and each pair of blocks is a part.  Parts are partitioned and sorted by (comp, part)."""
+    n = F.greatest(F.least(F.ceil(F.col("members") / small), F.lit(many)), F.ceil(F.col("members") / large)).cast("int")
+    mine = F.pmod(F.xxhash64(node), n).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.least(j, mine) * n + F.greatest(j, mine))
+    rest = [c for c in rows.columns if c not in ("comp", "members")]
+    parts = rows.select("comp", F.explode(pair).alias("part"), *rest)
+    return parts.repartition("comp", "part").sortWithinPartitions("comp", "part", node)

@@ -27,7 +27,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from xxhash import xxh3_128_digest
 
 from bnspark.llm.common import connected_components, drop, materialize, maybe_broadcast, maybe_in
-from bnspark.llm.hamming import BLOCK, hamming_links, popcount, runs, starts_of
+from bnspark.llm.hamming import BLOCK, coarse_groups, popcount, runs, spread, starts_of
 
 SIMILARITY = 0.8
 KEYS, SAMPLE = 10, 5
@@ -270,13 +270,7 @@ def kept_lines(docs: DataFrame, block: int = BLOCK, small: int = SMALL, many: in
     place = F.struct((F.col("doc_id") == NO_ID).alias("none"), "doc_id", "doc", "pos")  # null ids come last
     groups = lines.groupBy("id").agg(F.min(place).alias("first"), F.min("fp").alias("fp"), F.first("keys").alias("keys"))
     groups = materialize(groups, "groups")
-    nodes = groups.groupBy("fp").agg(F.count("*").alias("ids"))
-    keyed = groups.select(F.explode("keys").alias("key"), "fp")
-    coarse = connected_components(hamming_links(keyed, MOST_BITS, block)).select(F.col("node").alias("fp"), "component")
-    shared = nodes.where("ids > 1").select("fp")
-    inside = coarse.unionByName(shared.join(coarse, "fp", "left_anti").select("fp", F.col("fp").alias("component")))
-    inside = materialize(inside, "coarse")
-    drop(coarse)
+    inside = coarse_groups(groups.select("fp", "keys"), MOST_BITS, block)
     cand = groups.join(maybe_broadcast(inside), "fp").select(F.col("component").alias("comp"), "id", "fp", "first")
     cand = materialize(cand, "candidates")
     sizes = materialize(cand.groupBy("comp").agg(F.count("*").alias("members")).where("members > 1"), "sizes")
@@ -288,12 +282,8 @@ def kept_lines(docs: DataFrame, block: int = BLOCK, small: int = SMALL, many: in
     holders = maybe_in(docs.select("doc_id", "doc", "text"), "doc", wanted.select("doc"), wanted.count())
     holders = holders.join(wanted, ["doc_id", "doc"])
     texts = holders.select("text", "wanted").mapInArrow(_texts, "comp long, members long, id binary, fp long, line string")
-    n = F.greatest(F.least(F.ceil(F.col("members") / small), F.lit(many)), F.ceil(F.col("members") / LARGE)).cast("int")
-    mine = F.pmod(F.xxhash64("id"), n).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.least(j, mine) * n + F.greatest(j, mine))
-    spread = texts.select("comp", F.explode(pair).alias("part"), "id", "fp", "line")
-    spread = spread.repartition("comp", "part").sortWithinPartitions("comp", "part", "id")
-    final = connected_components(spread.mapInArrow(_verify, "a binary, b binary"))
+    parts = spread(texts, "id", small, many, LARGE)
+    final = connected_components(parts.mapInArrow(_verify, "a binary, b binary"))
     final = final.select(F.col("node").alias("id"), "component")
     joined = cand.join(maybe_broadcast(final), "id")
     ones = joined.groupBy("component").agg(F.min("first").alias("first")).select("first")

@@ -313,8 +313,8 @@ def brute_groups(rows, shingle=5):
     return [find(k) for k in range(len(rows))], links
 
 
-@pytest.mark.parametrize("block", [2_000, 3])
-def test_near_copies_match_brute_force_on_jaccard(spark, block):
+@pytest.mark.parametrize("small,many,block", [(256, 32, 20_000), (2, 100, 3)])
+def test_near_copies_match_brute_force_on_jaccard(spark, small, many, block):
     rng = random.Random(8)
     vocab = ["v%d" % i for i in range(400)]
     rows = []
@@ -328,10 +328,34 @@ def test_near_copies_match_brute_force_on_jaccard(spark, block):
     rows += [(500, None), (501, " "), (502, rows[0][1].upper())]
     groups, links = brute_groups(rows)
     assert links > 20
-    got = {r.doc_id for r in near_copies.one_of_each(table(spark, rows), block=block).collect()}
+    got = {r.doc_id for r in near_copies.one_of_each(table(spark, rows), small=small, many=many, block=block).collect()}
     assert got == {rows[k][0] for k in {g: k for k, g in reversed(list(enumerate(groups)))}.values()}
 
 
+def test_near_copies_recall_at_the_threshold():
+    """Texts whose similarity is just over the limit share a key and are close in at least 0.95 of the cases."""
+    rng = np.random.default_rng(3)
+    found = 0
+    for _ in range(400):
+        union = rng.integers(0, 1 << 63, 300, dtype=np.int64).astype(np.uint64) * np.uint64(2)
+        a, b = (np.sort(union[cut]) for cut in (slice(0, 270), slice(30, 300)))
+        assert near_copies.alike([a, b])[0, 1]
+        (fa, ka), (fb, kb) = near_copies.fingerprint(a), near_copies.fingerprint(b)
+        found += int(fa ^ fb).bit_count() <= near_copies.MOST_BITS and bool((ka == kb).any())
+    assert found >= 380
+
+
+def test_alike_is_jaccard_in_columns_of_any_width(monkeypatch):
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, n)).astype(np.uint64) for n in (90, 90, 120, 200, 200, 300, 5)]
+    want = [[5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)) for b in sets] for a in sets]
+    for cells in (1, 50, 1 << 20):
+        monkeypatch.setattr(near_copies, "CELLS", cells)
+        assert (near_copies.alike(sets) == np.array(want)).all()
+    a, b = near_copies.forest(np.array(want))
+    assert len(a) == len(sets) - len({frozenset(np.flatnonzero(np.linalg.matrix_power(np.array(want, float), 7)[k])) for k in range(7)})
+
+
 def test_near_copies_go_by_row_not_by_id(spark):
     a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
     rows = [(1, a), (5, a + " end"), (5, b), (7, c), (7, c), (None, c + " end"), (None, "alone")]
