@@ -99,6 +99,22 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
+def _op7_sql() -> str:
+    """Base32 of a digest: each five of its 160 bits, looked up among all five bits, name a letter."""
+    codes = " ".join(f"{k:05b}" for k in range(32))
+    letter = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (strpos('{}', substr(bits, {}, 5)) - 1) // 6, 1)"
+    digest = " || ".join(letter.format(codes, 5 * i + 1) for i in range(32))
+    return f"""
+WITH t AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (
+    SELECT page_id, strlen(html) AS payload_bytes, unhex(sha1(html))::BIT::VARCHAR AS bits, max(page_id) OVER (PARTITION BY html) AS owner
+    FROM t
+)
+SELECT page_id, payload_bytes, {digest} AS payload_digest,
+       CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> owner THEN owner END AS refers_to
+FROM d
+"""
 
 
 def _op5_sql(rounds: int = url_filter.ROUNDS) -> str:
@@ -143,4 +159,4 @@ def _op5_sql(rounds: int = url_filter.ROUNDS) -> str:
     )
 
 
-ORACLES: dict[str, str] = {"op5_url_filter": _op5_sql(), "op4_exact_dedup": OP4_SQL}
+ORACLES: dict[str, str] = {"op5_url_filter": _op5_sql(), "op4_exact_dedup": OP4_SQL, "op7_warc": _op7_sql()}

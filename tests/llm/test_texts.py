@@ -176,11 +176,14 @@ def test_url_verdicts(spark):
 def test_warc_round_trip(spark, split, least):
     rng = random.Random(2)
     inner = b"".join(warc.record(i, "u", b"payload", None) for i in range(3)).decode("latin-1")
-    pages = [(i, f"http://h/{i}", rng.choice(["", None, "tiny", "x" * 30, "日本 " * 20, inner, "".join(rng.choice("abcdef") for _ in range(4_000))])) for i in range(60)]
-    pages += [(100, None, "a b\n"), (101, "u v\r\nX: 1", "x" * 30), (101, "u v", "x" * 30), (-5, "neg", "x" * 30), (102, "big", "".join(map(chr, rng.choices(range(32, 3000), k=200_000))))]
+    pages = [(i, f"http://h/{i}", rng.choice(["", None, "tiny", "x" * 30, "日本 " * 20, inner, "".join(rng.choice("abcdef") for _ in range(1_000))])) for i in range(60)]
+    pages += [(100, None, "a b\n"), (101, "u v\r\nX: 1", "x" * 30), (101, "u v", "x" * 30), (-5, "neg", "x" * 30), (102, "big", "".join(map(chr, rng.choices(range(32, 3000), k=200_000 if split > 1 << 20 else 2_000))))]
+    pages += [(None, "no id", "x" * 30), (None, "no id", "of nobody else, but long enough"), (None, "", "of nobody else, but long enough"), (0, "zero", "0" * 25), (None, "", "0" * 25)]
+    if split > 1 << 20:
+        pages += [(103, "http://h/" + "".join(rng.choices("abcdef", k=4 << 20)), "behind a long address")]
     owner = {}
     for i, _, h in pages:
-        owner[h or ""] = max(owner.get(h or "", i), i)
+        owner[h or ""] = max(owner.get(h or ""), i, key=lambda x: (x is not None, x))
     want = []
     for i, _, h in pages:
         data = (h or "").encode()
@@ -191,14 +194,66 @@ def test_warc_round_trip(spark, split, least):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
-def test_warc_of_nothing_and_of_rot(spark, tmp_path):
-    df = spark.createDataFrame([(1, "u", "h" * 5_000), (2, "u", "i" * 5_000)], "page_id long, url string, html string")
+def found(spark, folder, split=1 << 23):
+    rows = warc.scan_warc(spark, f"file://{folder}", split).collect()
+    return sorted(r.page_id for r in rows if not r.fault), sorted((r.file, r.start) for r in rows if r.fault)
+
+
+@pytest.mark.parametrize("split", [1 << 23, 1_500])
+def test_warc_of_nothing_and_of_rot(spark, tmp_path, split):
+    df = spark.createDataFrame([(i, "u", f"{i}" * 300 + str(random.Random(i).random())) for i in range(50)], "page_id long, url string, html string")
     assert warc.round_trip(df.limit(0)).count() == 0
     warc.write_warc(df.coalesce(1), f"file://{tmp_path}/w")
-    name = next((tmp_path / "w").glob("*.warc.gz"))
-    data = name.read_bytes()
-    (tmp_path / "w" / "rot.warc.gz").write_bytes(b"junk\x1f\x8b\x08" + data)  # records behind what is none
-    assert sorted(r.page_id for r in warc.read_warc(spark, f"file://{tmp_path}/w").collect()) == [1, 1, 2, 2]
+    data = next((tmp_path / "w").glob("*.warc.gz")).read_bytes()
+    members, at = [], 0
+    while at < len(data):
+        z = zlib.decompressobj(31)
+        z.decompress(data[at:])
+        members.append(data[at : len(data) - len(z.unused_data)])
+        at += len(members[-1])
+    every = list(range(50))
+    cut = bytearray(members[25])
+    cut[len(cut) // 2] ^= 255
+    cases = {
+        "junk": (b"junk\x1f\x8b\x08" + data, every, 1),
+        "tail": (data[:-10], every[:-1], 1),
+        "padded": (data + bytes(16), every, 1),
+        "rotten": (b"".join([*members[:25], bytes(cut), *members[26:]]), every[:25] + every[26:], 1),
+        "headless": (data[5:], every[1:], 1),
+        "gap": (members[0] + b"\n\n" + members[1], [0, 1], 1),
+    }
+    for name, (held, want, faults) in cases.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.warc.gz").write_bytes(held)
+        got, places = found(spark, tmp_path / name, split)
+        assert got == want and len(places) == faults, name
+
+
+def test_warc_inside_a_payload_is_no_record(spark, tmp_path):
+    """An archive that is stored as it is within a member, over many ranges, gives no records of its own."""
+    inner = b"".join(warc.record(900 + i, "inner", random.Random(i).randbytes(700), None) for i in range(20))
+    head = b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:00000000-0000-0000-0000-000000000001>\r\n"
+    block = head + b"Content-Length: %d\r\n\r\n" % len(inner) + inner + b"\r\n\r\n"
+    z = zlib.compressobj(0, zlib.DEFLATED, 31)
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    member = lambda x: (lambda c: c.compress(x) + c.flush())(zlib.compressobj(6, zlib.DEFLATED, 31))
+    request = b"WARC/1.0\r\nWARC-Type: request\r\nWARC-Record-ID: x\r\nContent-Type: application/http\r\nContent-Length: 4\r\n\r\nGET \r\n\r\n"
+    data = member(info) + warc.record(1, "a", b"one", None) + z.compress(block) + z.flush() + member(request) + warc.record(2, "b", b"two", None)
+    (tmp_path / "x.warc.gz").write_bytes(data)
+    for split in (1 << 23, 600, 3_000):
+        rows = warc.read_warc(spark, f"file://{tmp_path}", split, payloads=True).collect()
+        assert sorted((r.record_type, r.page_id or 0, bytes(r.payload)) for r in rows) == sorted(
+            [("warcinfo", 0, b"hello"), ("response", 1, b"one"), ("resource", 0, inner), ("request", 0, b""), ("response", 2, b"two")]
+        )
+        assert all(r.intact for r in rows)
+
+
+def test_warc_round_trip_raises_on_loss(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "u", "h"), (2, "u", "i")], "page_id long, url string, html string")
+    whole = warc.scan_warc
+    monkeypatch.setattr(warc, "scan_warc", lambda *a: whole(*a).where("page_id = 1"))
+    with pytest.raises(ValueError, match="do not give back"):
+        warc.round_trip(df)
 
 
 # Mixing.
