@@ -11,7 +11,8 @@ SAMPLE tokens alone, those that come first in the block's own order of all token
 the blocks whose sample it meets and no other, and two lines that are alike keep one in common.  (A SimHash
 whose bits every token votes on spreads an edit over all blocks: at an edit similarity of 0.8 it differs in
 ten and more of 64 bits, which leaves no block to join on.)  Lines that share a block and differ in at most
-MOST_BITS bits of the SimHash are candidates; connected candidates are compared by their edit similarity.
+MOST_BITS bits of the SimHash are candidates; connected candidates are compared by their edit similarity, but
+not where their common tokens hold less than OVERLAP of a line, as in lines that share a passage alone.
 Of each group that links of at least SIMILARITY connect the first occurrence stays.
 """
 
@@ -34,6 +35,10 @@ KEYS, SAMPLE = 10, 5
 # Of the lines with a similarity of SIMILARITY some in a thousand differ in more bits, and of lines that have
 # nothing in common as many in less.
 MOST_BITS = 20
+# Replaced words still have a third of their characters in common by chance, so a similarity of SIMILARITY
+# leaves some 0.7 of a line's words as they are.
+OVERLAP = 0.65
+CELLS = 1 << 22  # of a matrix of lines and tokens, at most
 LONG, PIECE = 16, 2  # bytes of a word that stays whole; a longer one is cut at one place in PIECE, on average
 # Groups are cut into blocks of SMALL lines, MANY blocks at most while these stay below LARGE lines.
 SMALL, MANY, LARGE = 64, 32, 2_000
@@ -157,7 +162,7 @@ def fingerprints(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance, bit-parallel over the shorter text after what both start and end with."""
+    """Levenshtein distance, bit-parallel over the longer text after what both start and end with."""
     n = 0
     most = min(len(a), len(b))
     step = 64
@@ -172,10 +177,10 @@ def edit_distance(a: str, b: str) -> int:
         n += 1
     if n:
         a, b = a[:-n], b[:-n]
-    if len(a) > len(b):
+    if len(a) < len(b):  # the bits stand for the longer text
         a, b = b, a
-    if not a:
-        return len(b)
+    if not b:
+        return len(a)
     at: dict[str, int] = {}
     for i, c in enumerate(a):
         at[c] = at.get(c, 0) | 1 << i
@@ -240,11 +245,38 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
+def overlaps(lines: list[bytes]) -> np.ndarray:
+    """Whether the tokens that two lines have in common hold at least OVERLAP of the bytes of either's
+    different tokens, as a symmetric matrix.  Tokens of a single line only count in its size; the rest are
+    multiplied out, some columns at a time."""
+    hashes, starts = token_hashes(b"\n".join(lines))
+    firsts = np.append(0, np.cumsum([len(x) + 1 for x in lines])).astype(np.int64)
+    size = np.minimum(np.diff(np.append(starts, firsts[-1])), LONG).astype(np.float32)
+    owner = np.searchsorted(firsts, starts, side="right") - 1
+    _, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    once = np.unique(owner * len(at) + inverse)
+    owner, token = once // len(at), once % len(at)
+    total = np.bincount(owner, size[at[token]], len(lines))
+    count = np.bincount(token, minlength=len(at))
+    order = np.argsort(token, kind="stable")
+    order = order[count[token[order]] > 1]
+    owner, column = owner[order], (np.cumsum(count > 1) - 1)[token[order]]
+    weight = np.sqrt(size[at[token[order]]])
+    both, width = np.zeros((len(lines), len(lines)), np.float32), max(1, CELLS // len(lines))
+    for first in range(0, int((count > 1).sum()), width):
+        s, e = np.searchsorted(column, (first, first + width))
+        held = np.zeros((len(lines), width), np.float32)
+        held[owner[s:e], column[s:e] - first] = weight[s:e]
+        both += held @ held.T
+    return both >= OVERLAP * np.maximum(total[:, None], total) - 1e-3
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges of a spanning forest of the links between the lines of each group."""
+    """Edges of a spanning forest of the links between the lines of each part; of a part of two blocks, those
+    between the blocks, as each block is a part of its own."""
     for t in runs(batches, ["comp", "part"]):
         comp, part, signed = (t.column(c).to_numpy() for c in ("comp", "part", "fp"))
-        ids, lines = t.column("id"), t.column("line")
+        ids, lines, blocks = t.column("id"), t.column("line"), t.column("block").to_numpy()
         at = starts_of([comp, part])
         left, right = [], []
         for k in np.flatnonzero(np.diff(at) > 1):
@@ -253,8 +285,12 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = lines.slice(s, e - s).to_pylist()
             name = ids.slice(s, e - s).to_pylist()
             label = np.arange(e - s)
+            near = overlaps([x.encode("utf-8", "replace") for x in text])
+            block = blocks[s:e]
+            if (block != block[0]).any():
+                near &= block[:, None] != block
             for i in range(1, e - s):
-                for j in np.flatnonzero(popcount(fp[:i] ^ fp[i]) <= MOST_BITS).tolist():
+                for j in np.flatnonzero(near[i, :i] & (popcount(fp[:i] ^ fp[i]) <= MOST_BITS)).tolist():
                     if label[j] != label[i] and alike(text[j], text[i]):
                         label[label == label[j]] = label[i]
                         left.append(name[j])
