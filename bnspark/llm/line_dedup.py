@@ -11,8 +11,8 @@ SAMPLE tokens alone, those that come first in the block's own order of all token
 the blocks whose sample it meets and no other, and two lines that are alike keep one in common.  (A SimHash
 whose bits every token votes on spreads an edit over all blocks: at an edit similarity of 0.8 it differs in
 ten and more of 64 bits, which leaves no block to join on.)  Lines that share a block and differ in at most
-MOST_BITS bits of the SimHash are candidates; connected candidates are compared by their edit similarity, but
-not where their common tokens hold less than OVERLAP of a line, as in lines that share a passage alone.
+MOST_BITS bits of the SimHash are candidates, and connected ones come together.  Candidates whose common tokens
+hold OVERLAP of a line are compared by their edit similarity.
 Of each group that links of at least SIMILARITY connect the first occurrence stays.
 """
 
@@ -32,13 +32,11 @@ from bnspark.llm.hamming import BLOCK, coarse_groups, popcount, runs, spread, st
 
 SIMILARITY = 0.8
 KEYS, SAMPLE = 10, 5
-# Of the lines with a similarity of SIMILARITY some in a thousand differ in more bits, and of lines that have
-# nothing in common as many in less.
-MOST_BITS = 20
-# Replaced words still have a third of their characters in common by chance, so a similarity of SIMILARITY
-# leaves some 0.7 of a line's words as they are.
-OVERLAP = 0.65
-CELLS = 1 << 22  # of a matrix of lines and tokens, at most
+# A similarity of SIMILARITY by replaced words means some 12 bits, lines with nothing in common 32.
+MOST_BITS = 16
+# Replaced words still have a third of their characters in common by chance, so OVERLAP of a line's words means
+# a similarity of 0.84; lines that share no more than a passage stay below.
+OVERLAP = 0.75
 LONG, PIECE = 16, 2  # bytes of a word that stays whole; a longer one is cut at one place in PIECE, on average
 # Groups are cut into blocks of SMALL lines, MANY blocks at most while these stay below LARGE lines.
 SMALL, MANY, LARGE = 64, 32, 2_000
@@ -232,43 +230,51 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The normalised text of the lines that are asked for: (text, wanted) to a row for each."""
-    names = ["comp", "members", "id", "fp", "line"]
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string()]
+    names = ["comp", "members", "id", "fp", "keys", "line"]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.string()]
     for batch in batches:
         for start in range(0, batch.num_rows, 512):
             part = batch.slice(start, 512)
             rows = []
             for text, wanted in zip(part.column(0), part.column(1), strict=True):
                 lines = (text.as_py() or "").split("\n")
-                rows += [(w["comp"], w["members"], w["id"], w["fp"], normalised(lines[w["pos"]]).decode()) for w in wanted.as_py()]
+                rows += [(w["comp"], w["members"], w["id"], w["fp"], w["keys"], normalised(lines[w["pos"]]).decode()) for w in wanted.as_py()]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
-def overlaps(lines: list[bytes]) -> np.ndarray:
-    """Whether the tokens that two lines have in common hold at least OVERLAP of the bytes of either's
-    different tokens, as a symmetric matrix.  Tokens of a single line only count in its size; the rest are
-    multiplied out, some columns at a time."""
-    hashes, starts = token_hashes(b"\n".join(lines))
-    firsts = np.append(0, np.cumsum([len(x) + 1 for x in lines])).astype(np.int64)
-    size = np.minimum(np.diff(np.append(starts, firsts[-1])), LONG).astype(np.float32)
-    owner = np.searchsorted(firsts, starts, side="right") - 1
-    _, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    once = np.unique(owner * len(at) + inverse)
-    owner, token = once // len(at), once % len(at)
-    total = np.bincount(owner, size[at[token]], len(lines))
-    count = np.bincount(token, minlength=len(at))
-    order = np.argsort(token, kind="stable")
-    order = order[count[token[order]] > 1]
-    owner, column = owner[order], (np.cumsum(count > 1) - 1)[token[order]]
-    weight = np.sqrt(size[at[token[order]]])
-    both, width = np.zeros((len(lines), len(lines)), np.float32), max(1, CELLS // len(lines))
-    for first in range(0, int((count > 1).sum()), width):
-        s, e = np.searchsorted(column, (first, first + width))
-        held = np.zeros((len(lines), width), np.float32)
-        held[owner[s:e], column[s:e] - first] = weight[s:e]
-        both += held @ held.T
-    return both >= OVERLAP * np.maximum(total[:, None], total) - 1e-3
+class Tokens:
+    """The tokens of lines that are compared with each other.  That of an n-th occurrence stands for those since
+    n / 2, too."""
+
+    def __init__(self, lines: list[bytes]):
+        hashes, starts = token_hashes(b"\n".join(lines))
+        firsts = np.append(0, np.cumsum([len(x) + 1 for x in lines])).astype(np.int64)
+        size = np.minimum(np.diff(np.append(starts, firsts[-1])), LONG)
+        owner = np.searchsorted(firsts, starts, side="right") - 1
+        _, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        once, count = np.unique(owner * len(at) + inverse, return_counts=True)
+        powers = np.frexp(count)[1]  # of two, up to the count
+        power = np.arange(powers.sum()) - np.repeat(np.cumsum(powers) - powers, powers)
+        once = np.repeat(once, powers)
+        owner, token = once // len(at), once % len(at)
+        every, first, self.token = np.unique(token << 6 | power, return_index=True, return_inverse=True)
+        self.size = (size[at[token]] * np.maximum(1, 1 << np.maximum(power - 1, 0)))[first]
+        self.first = np.searchsorted(owner, np.arange(len(lines) + 1))
+        self.total = np.add.reduceat(self.size[self.token], self.first[:-1])
+        self.mine = np.zeros(len(every), np.int64)
+
+    def overlap(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Which of the others have tokens in common with line i that hold at least OVERLAP of the bytes of
+        either's tokens."""
+        own = self.token[self.first[i] : self.first[i + 1]]
+        self.mine[own] = self.size[own]
+        n = self.first[others + 1] - self.first[others]
+        ends = np.cumsum(n)
+        at = np.repeat(self.first[others] - (ends - n), n) + np.arange(ends[-1])
+        both = np.add.reduceat(self.mine[self.token[at]], ends - n)
+        self.mine[own] = 0
+        return both >= OVERLAP * np.maximum(self.total[others], self.total[i])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,21 +282,27 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     between the blocks, as each block is a part of its own."""
     for t in runs(batches, ["comp", "part"]):
         comp, part, signed = (t.column(c).to_numpy() for c in ("comp", "part", "fp"))
-        ids, lines, blocks = t.column("id"), t.column("line"), t.column("block").to_numpy()
+        ids, lines, block = t.column("id"), t.column("line"), t.column("block").to_numpy()
+        every = t.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, KEYS)
         at = starts_of([comp, part])
         left, right = [], []
         for k in np.flatnonzero(np.diff(at) > 1):
             s, e = int(at[k]), int(at[k + 1])
-            fp = signed[s:e].view(np.uint64)
+            fp, keys, own = signed[s:e].view(np.uint64), every[s:e], block[s:e]
             text = lines.slice(s, e - s).to_pylist()
             name = ids.slice(s, e - s).to_pylist()
+            tokens = Tokens([x.encode("utf-8", "replace") for x in text])
+            across = bool((own != own[0]).any())
             label = np.arange(e - s)
-            near = overlaps([x.encode("utf-8", "replace") for x in text])
-            block = blocks[s:e]
-            if (block != block[0]).any():
-                near &= block[:, None] != block
             for i in range(1, e - s):
-                for j in np.flatnonzero(near[i, :i] & (popcount(fp[:i] ^ fp[i]) <= MOST_BITS)).tolist():
+                near = (popcount(fp[:i] ^ fp[i]) <= MOST_BITS) & (label[:i] != label[i])
+                if across:
+                    near &= own[:i] != own[i]
+                others = np.flatnonzero(near)
+                others = others[(keys[others] == keys[i]).any(axis=1)]
+                if len(others):
+                    others = others[tokens.overlap(i, others)]
+                for j in others.tolist():
                     if label[j] != label[i] and alike(text[j], text[i]):
                         label[label == label[j]] = label[i]
                         left.append(name[j])
@@ -307,17 +319,17 @@ def kept_lines(docs: DataFrame, block: int = BLOCK, small: int = SMALL, many: in
     groups = lines.groupBy("id").agg(F.min(place).alias("first"), F.min("fp").alias("fp"), F.first("keys").alias("keys"))
     groups = materialize(groups, "groups")
     inside = coarse_groups(groups.select("fp", "keys"), MOST_BITS, block)
-    cand = groups.join(maybe_broadcast(inside), "fp").select(F.col("component").alias("comp"), "id", "fp", "first")
+    cand = groups.join(maybe_broadcast(inside), "fp").select(F.col("component").alias("comp"), "id", "fp", "keys", "first")
     cand = materialize(cand, "candidates")
     sizes = materialize(cand.groupBy("comp").agg(F.count("*").alias("members")).where("members > 1"), "sizes")
     drop(inside)
-    item = F.struct("comp", "members", "id", "fp", F.col("first.pos").alias("pos"))
+    item = F.struct("comp", "members", "id", "fp", "keys", F.col("first.pos").alias("pos"))
     wanted = cand.join(maybe_broadcast(sizes), "comp").groupBy("first.doc_id", "first.doc").agg(F.collect_list(item).alias("wanted"))
     wanted = materialize(wanted, "wanted")
     # A document that repeats gives its lines twice, which links them to themselves alone.
     holders = maybe_in(docs.select("doc_id", "doc", "text"), "doc", wanted.select("doc"), wanted.count())
     holders = holders.join(wanted, ["doc_id", "doc"])
-    texts = holders.select("text", "wanted").mapInArrow(_texts, "comp long, members long, id binary, fp long, line string")
+    texts = holders.select("text", "wanted").mapInArrow(_texts, "comp long, members long, id binary, fp long, keys array<long>, line string")
     parts = spread(texts, "id", small, many, LARGE)
     final = connected_components(parts.mapInArrow(_verify, "a binary, b binary"))
     final = final.select(F.col("node").alias("id"), "component")

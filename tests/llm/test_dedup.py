@@ -18,7 +18,7 @@ def table(spark, rows):
 def texts(seed=0):
     rng = random.Random(seed)
     vocab = ["w%d" % i for i in range(60)]
-    base = [" ".join(rng.choice(vocab) for _ in range(rng.randrange(5, 60))) for _ in range(25)]
+    base = [" ".join(rng.choice(vocab) for _ in range(rng.randrange(15, 60))) for _ in range(25)]
     rows = []
     for i in range(90):
         lines = [rng.choice(base) for _ in range(rng.randrange(1, 5))]
@@ -146,7 +146,7 @@ def test_all_bytes_of_a_word_count():
 
 @pytest.mark.parametrize("n", [8, 12, 20, 40])
 def test_recall_of_lines_with_a_word_replaced(n):
-    """At least 0.9 of the pairs whose edit similarity is high enough share a block and are close."""
+    """At least 0.9 of the pairs whose edit similarity is high enough are compared."""
     rng = random.Random(n)
     vocab = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 11))) for _ in range(3_000)]
     a, b = [], []
@@ -159,7 +159,8 @@ def test_recall_of_lines_with_a_word_replaced(n):
             a.append(" ".join(own).encode())
             b.append(" ".join(other).encode())
     (fa, ka), (fb, kb) = line_dedup.fingerprints(a), line_dedup.fingerprints(b)
-    found = (np.bitwise_count(fa ^ fb) <= line_dedup.MOST_BITS) & (ka == kb).any(1)
+    tokens = [line_dedup.Tokens([x, y]).overlap(0, np.array([1]))[0] for x, y in zip(a, b)]
+    found = (np.bitwise_count(fa ^ fb) <= line_dedup.MOST_BITS) & (ka == kb).any(1) & np.array(tokens)
     assert len(a) > 1_500 and found.mean() >= 0.9
 
 
@@ -177,7 +178,7 @@ def test_recall_on_documents(spark):
             exact += bool(n) and n in seen
             seen.add(n)
     fuzzy = sum(map(len, want.values())) - exact
-    assert fuzzy > 20 and sum(map(len, got.values())) - exact >= 0.9 * fuzzy
+    assert fuzzy > 10 and sum(map(len, got.values())) - exact >= 0.9 * fuzzy
 
 
 # Exact.
