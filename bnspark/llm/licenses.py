@@ -1,15 +1,18 @@
 """Licence families of paragraphs, with DataFrame functions and Spark's JVM learners only.
 
-A paragraph is a line.  A sparse multinomial logistic regression over word 1- and 2-grams is fitted to
-the templates below, in many damaged variants, against paragraphs of a bounded sample of the corpus as the
-class `unknown`.  Only n-grams with a word that is rare in the whole corpus are features, so a paragraph
-without any such word has no feature and a constant score; the others are scored inside their row, and
-no text is shuffled.  A family is predicted if its probability reaches a threshold calibrated on
-all background paragraphs that were not fitted on, and counts only if a template of that family is found in the paragraph.
+A paragraph is a line; a notice that is wrapped is found line by line.  A sparse multinomial logistic
+regression over word 1- and 2-grams is fitted to the texts and phrases of license_texts, whole and in pieces,
+against paragraphs of a bounded sample of the corpus and sentences with licence words as the class `unknown`.
+Only n-grams with a word that is rare in the whole corpus are features, so a paragraph without any such word has
+no feature and a constant score; the others are scored inside their row, and no text is shuffled.  A family
+is predicted if the probability that it is not `unknown` reaches a threshold calibrated on all background paragraphs that were not fitted
+on.  It counts if templates confirm it: the paragraph holds CONTAINED of the word pairs of one of the family's
+phrases, or the family's texts hold CONTAINED of the paragraph's, which has LEAST_PAIRS of them.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
@@ -18,55 +21,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bnspark.llm.common import drop, materialize
+from bnspark.llm.license_texts import NAMES, OTHER, phrases
 
 BACKGROUND_DOCS = 400  # documents, at most, whose paragraphs are fitted on
 RARE = 0.01  # share of background paragraphs below which a word is rare
-CONTAINED = 0.7  # share of a template's word pairs that a paragraph must hold
+CONTAINED = 0.7
+LEAST_PAIRS = 4
+LICENCE_LIKE = 0.5  # share of a paragraph's word pairs in templates from which it is no background
 LEAST_PROBABILITY = 0.5
 FALSE_RATE = 0.001  # of background paragraphs
 STEPS = 10_000  # of probabilities, when they are counted
+WINDOWS, STRIDE = (10, 5), 3  # words of the pieces of texts that are fitted on
 UNKNOWN = "unknown"
-# Short public licence notices by family.
-TEMPLATES = [
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "This project is licensed under the terms of the MIT license."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
-    ("Apache-2.0", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("Apache-2.0", "distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3"),
-    ("GPL-3.0", "either version 3 of the License, or (at your option) any later version."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-2.0", "either version 2 of the License, or (at your option) any later version."),
-    ("LGPL", "This library is licensed under the GNU Lesser General Public License."),
-    ("LGPL", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"),
-    ("BSD", "Released under the BSD 3-Clause License."),
-    ("BSD", "Licensed under the BSD 2-Clause License."),
-    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY", "Licensed under CC BY 4.0."),
-    ("CC-BY", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-SA", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("CC-BY-NC", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("public-domain", "This is free and unencumbered software released into the public domain."),
-    ("public-domain", "To the extent possible under law, the author has waived all copyright under CC0 1.0 Universal."),
-    ("proprietary", "Copyright. All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited."),
-]
-# Sentences with licence words that are no licences.
-OTHER = [
-    "The driver must hold a valid license.", "The license plate was not readable.", "The fishing license costs four dollars a year.",
-    "Permission was granted to leave the room early.", "The general public was invited to the open day.",
-    "Version 2 of the story is better than version 3.", "The new version was released last week under the old name.",
-    "All rights and wrongs were forgotten.", "The warranty covers two years.", "The copy shop is open to any person.",
-    "He read the notice above the door.", "A member of the public domain committee resigned.", "The works were shown under the bridge.",
-    "The conditions of the road are bad.", "Their software is free for schools.", "She is licensed to practise law.",
-]
 
 
 def words(text: Column) -> Column:
@@ -74,11 +40,14 @@ def words(text: Column) -> Column:
 
 
 def pairs(tokens: Column) -> Column:
-    return F.zip_with(tokens, F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
+    """Neighbouring words; of a single word, that word."""
+    n = F.size(tokens) - 1
+    both = F.zip_with(F.slice(tokens, 1, F.greatest(n, F.lit(0))), F.slice(tokens, 2, F.greatest(n, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    return F.when(n > 0, both).otherwise(tokens)
 
 
 def grams(tokens: Column) -> Column:
-    """Words and neighbouring pairs; the pair of the last word with nothing is that word again."""
+    """Words and neighbouring pairs."""
     return F.array_distinct(F.concat(tokens, pairs(tokens)))
 
 
@@ -87,8 +56,13 @@ def _literal(values: list, kind: str) -> Column:
     return F.split(F.lit("\n".join(map(str, values))), "\n").cast(f"array<{kind}>")
 
 
+def _json(value: object, kind: str) -> Column:
+    """A nested constant, which the optimizer folds into one literal."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 def _templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TEMPLATES, "family string, text string").coalesce(1)
+    return spark.createDataFrame(phrases(), "family string, text string").coalesce(1)
 
 
 @dataclass(frozen=True)
@@ -99,10 +73,11 @@ class Scanner:
     weights: list[float]  # class after class
     bias: list[float]
     threshold: float
-    marks: list[tuple[str, list[str]]]  # templates: family, word pairs
+    held: dict[str, list[list[str]]]  # word pairs of the phrases, by family
 
     def classify(self, scored: Column) -> Column:
-        """Of structs with `tokens`, structs with the best family but UNKNOWN and its probability.
+        """Of structs with `tokens`, structs with the best family but UNKNOWN and the probability of all
+        families, that is, of anything but UNKNOWN.
 
         Each step is a transform of its own: what a step uses twice is then computed once."""
         size, known = len(self.vocabulary), self.families.index(UNKNOWN)
@@ -143,18 +118,20 @@ class Scanner:
                 F.element_at(
                     _literal(self.families, "string"), F.array_position(known_at(s["e"]), F.array_max(known_at(s["e"]))).cast("int")
                 ).alias("family"),
-                (F.array_max(known_at(s["e"])) / F.aggregate(s["e"], F.lit(0.0), lambda a, x: a + x)).alias("probability"),
+                (F.lit(1.0) - F.element_at(s["e"], known + 1) / F.aggregate(s["e"], F.lit(0.0), lambda a, x: a + x)).alias("probability"),
             ),
         )
 
     def contained(self, family: Column, tokens: Column) -> Column:
-        """Largest share of a template's word pairs, over the family's templates, that tokens hold."""
-        own = pairs(tokens)
-        shares = [
-            F.when(family == name, F.size(F.array_intersect(_literal(held, "string"), own)) / len(held)).otherwise(F.lit(0.0))
-            for name, held in self.marks
-        ]
-        return F.greatest(*shares)
+        """The larger of two shares: of a phrase's word pairs that tokens hold, the best of the family's
+        phrases; and of the pairs of tokens, LEAST_PAIRS of them at least, that the family's phrases hold."""
+        own = F.array_distinct(pairs(tokens))
+        kind = "array<struct<f:string,p:array<array<string>>,all:array<string>>>"
+        known = _json([{"f": f, "p": p, "all": sorted({x for y in p for x in y})} for f, p in self.held.items()], kind)
+        mine = F.filter(known, lambda t: t["f"] == family)[0]
+        whole = F.array_max(F.transform(mine["p"], lambda p: F.size(F.array_intersect(p, own)) / F.size(p)))
+        part = F.when(F.size(own) >= LEAST_PAIRS, F.size(F.array_intersect(own, mine["all"])) / F.size(own)).otherwise(F.lit(0.0))
+        return F.greatest(whole, part)
 
     def candidates(self, text: Column) -> Column:
         """Paragraphs with a rare word, as (line, tokens); all others have no feature."""
@@ -163,9 +140,29 @@ class Scanner:
         return F.filter(lines, lambda s: F.arrays_overlap(s["tokens"], rare))
 
 
-def _held(spark: SparkSession) -> list[tuple[str, list[str]]]:
-    rows = _templates(spark).select("family", F.array_distinct(pairs(words(F.col("text")))).alias("p")).collect()
-    return [(r["family"], r["p"]) for r in rows]
+def _held(spark: SparkSession) -> dict[str, list[list[str]]]:
+    rows = _templates(spark).select("family", F.array_distinct(pairs(words(F.col("text")))).alias("p")).distinct().collect()
+    return {f: sorted(r["p"] for r in rows if r["family"] == f) for f in sorted({r["family"] for r in rows})}
+
+
+@dataclass(frozen=True)
+class Marks:
+    """Word pairs of all phrases, and those of the names of licences."""
+
+    known: list[str]
+    names: list[str]
+
+    @staticmethod
+    def of(spark: SparkSession, held: dict[str, list[list[str]]]) -> Marks:
+        named = spark.createDataFrame([(n,) for names in NAMES.values() for n in names if len(n.split()) > 1], "text string").coalesce(1)
+        rows = named.select(F.explode(pairs(words(F.col("text")))).alias("p")).distinct().collect()
+        return Marks(sorted({x for ps in held.values() for p in ps for x in p}), sorted(r["p"] for r in rows if " " in r["p"]))
+
+    def found(self, tokens: Column) -> Column:
+        """Whether a paragraph is like a licence or names one, and so is no background."""
+        own = pairs(tokens)
+        shared = F.size(F.array_intersect(own, _literal(self.known, "string")))
+        return (shared >= LICENCE_LIKE * F.size(own)) & (shared > 0) | F.arrays_overlap(own, _literal(self.names, "string"))
 
 
 def _sampled(docs: DataFrame, bound: int) -> DataFrame:
@@ -173,8 +170,7 @@ def _sampled(docs: DataFrame, bound: int) -> DataFrame:
 
 
 def _background(docs: DataFrame, bound: int) -> DataFrame:
-    """Paragraphs of at most `bound` documents (those with the smallest hash of their id), in which none
-    of the templates is contained."""
+    """Different paragraphs of at most `bound` documents (those with the smallest hash of their id)."""
     some = docs.join(F.broadcast(_sampled(docs, bound)), "doc_id", "left_semi")
     lines = some.select(F.explode(F.split("text", "\n")).alias("text")).where("trim(text) <> ''").distinct()
     return lines.withColumn("tokens", words(F.col("text")))
@@ -186,22 +182,19 @@ def _paragraphs(docs: DataFrame) -> DataFrame:
     return lines.withColumn("tokens", words(F.col("text")))
 
 
-def rare_words(docs: DataFrame, held: list[tuple[str, list[str]]]) -> list[str]:
-    """Words of the templates that less than RARE of all paragraphs hold in which no template is contained.
-    What leaves a task is a count for each word of a template, and one of its paragraphs."""
+def rare_words(docs: DataFrame, marks: Marks) -> list[str]:
+    """Words of the templates that less than RARE of all background paragraphs hold.  What leaves a task is
+    a count for each word of a template, and one of its paragraphs."""
     mine = _templates(docs.sparkSession).select(F.explode(words(F.col("text"))).alias("w")).distinct()
     used = sorted(r[0] for r in mine.collect())  # of the templates alone
-    known = sorted({p for _, held_pairs in held for p in held_pairs})
     seen = _paragraphs(docs).select("tokens", F.array_intersect("tokens", _literal(used, "string")).alias("w"))
-    seen = seen.select("w", F.when(F.size("w") > 1, F.array_intersect(pairs(F.col("tokens")), _literal(known, "string"))).alias("p"))
-    found = [F.size(F.array_intersect(_literal(p, "string"), F.col("p"))) / len(p) for _, p in held]
-    background = seen.where(F.col("p").isNull() | (F.size("p") == 0) | (F.greatest(*found) < CONTAINED))
+    background = seen.where((F.size("w") < 2) | ~marks.found(F.col("tokens")))
     often = {r["w"]: r["count"] for r in background.select(F.explode(F.array_append("w", "\n")).alias("w")).groupBy("w").count().collect()}
     n = max(often.get("\n", 0), 1)  # the line feed stands for the paragraph
     return [w for w in used if often.get(w, 0) < RARE * n]
 
 
-def calibrated(docs: DataFrame, fitted: Scanner, sampled: list[int]) -> float:
+def calibrated(docs: DataFrame, fitted: Scanner, marks: Marks, sampled: list[int]) -> float:
     """The probability that FALSE_RATE of all background paragraphs reach, but those that were fitted on
     (half of the sampled documents').  Scores are counted in steps; paragraphs without a feature are scored once."""
     split = F.pmod(F.xxhash64(F.lit(7), F.col("text")), F.lit(2))
@@ -213,8 +206,7 @@ def calibrated(docs: DataFrame, fitted: Scanner, sampled: list[int]) -> float:
     counted = lines.select(tokens.alias("tokens"))
     total = counted.groupBy((F.size("tokens") > 0).alias("scored")).count().collect()
     plain = sum(r["count"] for r in total if not r["scored"])
-    found = [F.size(F.array_intersect(_literal(p, "string"), pairs(F.col("tokens")))) / len(p) for _, p in fitted.marks]
-    some = counted.where((F.size("tokens") > 0) & (F.greatest(*found) < CONTAINED))
+    some = counted.where((F.size("tokens") > 0) & ~marks.found(F.col("tokens")))
     one = docs.sparkSession.range(1).select(none.alias("tokens"))
     score = lambda df: df.select(fitted.classify(F.array(F.struct(F.lit(0).alias("line"), "tokens")))[0]["probability"].alias("p"))
     steps = {r["s"]: r["count"] for r in score(some).groupBy(F.floor(F.col("p") * STEPS).alias("s")).count().collect()}
@@ -232,38 +224,37 @@ def calibrated(docs: DataFrame, fitted: Scanner, sampled: list[int]) -> float:
 def train(docs: DataFrame, bound: int = BACKGROUND_DOCS) -> Scanner:
     spark = docs.sparkSession
     held = _held(spark)
-    names = sorted({f for f, _ in held})
-    whole = Scanner([*names, UNKNOWN], [], [], [], [], 1.0, held)
-    found = [F.size(F.array_intersect(_literal(p, "string"), pairs(F.col("tokens")))) / len(p) for _, p in held]
-    paragraphs = materialize(_background(docs, bound).where(F.greatest(*found) < CONTAINED).select("text", "tokens"), "background")
-    rare = rare_words(docs, held)
+    marks = Marks.of(spark, held)
+    families = [*held, UNKNOWN]
+    paragraphs = materialize(_background(docs, bound).where(~marks.found(F.col("tokens"))).select("text", "tokens"), "background")
+    rare = rare_words(docs, marks)
     mine = _templates(spark).select(words(F.col("text")).alias("tokens"))
     every = [r[0] for r in mine.select(F.explode(grams(F.col("tokens")))).distinct().collect()]  # of the templates alone
     vocabulary = sorted(g for g in every if set(g.split(" ")) & set(rare))
-    # Damaged variants: without one word, without the words from some place on, between other words.
-    whole_text = _templates(spark).select("family", words(F.col("text")).alias("t"))
-    place = whole_text.select("family", "t", F.explode(F.sequence(F.lit(1), F.size("t"))).alias("i"))
-    without = F.concat(F.slice("t", 1, F.col("i") - 1), F.slice("t", F.col("i") + 1, F.size("t")))
-    cut = place.where("i >= 4").select("family", F.slice("t", 1, F.col("i")).alias("tokens"))
-    dropped = place.select("family", without.alias("tokens"))
-    inside = whole_text.select("family", F.concat(F.array(*map(F.lit, ("see", "here"))), "t", F.array(F.lit("more"))).alias("tokens"))
-    good = dropped.unionByName(cut).unionByName(inside).unionByName(whole_text.select("family", F.col("t").alias("tokens")))
+    # Phrases whole, between other words, without one of their words, and in pieces.
+    whole = _templates(spark).select("family", words(F.col("text")).alias("t"))
+    place = whole.where(F.size("t") > 6).select("family", "t", F.explode(F.sequence(F.lit(1), F.size("t"), F.lit(STRIDE))).alias("i"))
+    dropped = place.select("family", F.concat(F.slice("t", 1, F.col("i") - 1), F.slice("t", F.col("i") + 1, F.size("t"))).alias("tokens"))
+    sizes = F.explode(F.array(*map(F.lit, WINDOWS)))
+    pieces = place.where(F.size("t") >= F.col("i") + 4).withColumn("n", sizes).select("family", F.slice("t", F.col("i"), F.col("n")).alias("tokens"))
+    inside = whole.select("family", F.concat(F.array(*map(F.lit, ("see", "here"))), "t", F.array(F.lit("more"))).alias("tokens"))
+    good = dropped.unionByName(pieces).unionByName(inside).unionByName(whole.select("family", F.col("t").alias("tokens")))
     others = spark.createDataFrame([(t,) for t in OTHER], "text string").coalesce(1).select(words(F.col("text")).alias("tokens"))
     split = F.pmod(F.xxhash64(F.lit(7), F.col("text")), F.lit(2))
     bad = paragraphs.where(split == 0).select("tokens").unionByName(others).withColumn("family", F.lit(UNKNOWN))
-    label = F.array_position(_literal(whole.families, "string"), F.col("family")).cast("double") - 1
+    label = F.array_position(_literal(families, "string"), F.col("family")).cast("double") - 1
     rows = good.unionByName(bad.select("family", "tokens")).select(label.alias("label"), grams(F.col("tokens")).alias("grams"))
     model_rows = materialize(rows, "fit")
     counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features").setBinary(True)
-    model = LogisticRegression(family="multinomial", regParam=2e-4, elasticNetParam=0.5, maxIter=60).fit(
+    model = LogisticRegression(family="multinomial", regParam=5e-5, elasticNetParam=0.5, maxIter=100).fit(
         counter.transform(model_rows.coalesce(1)).select("label", "features")  # a few thousand rows
     )
     weights = [float(x) for x in model.coefficientMatrix.toArray().ravel()]
-    fitted = Scanner(whole.families, vocabulary, rare, weights, [float(b) for b in model.interceptVector.toArray()], 1.0, held)
-    edge = calibrated(docs, fitted, [r[0] for r in _sampled(docs, bound).collect()])  # at most `bound` ids
+    fitted = Scanner(families, vocabulary, rare, weights, [float(b) for b in model.interceptVector.toArray()], 1.0, held)
+    edge = calibrated(docs, fitted, marks, [r[0] for r in _sampled(docs, bound).collect()])  # at most `bound` ids
     drop(paragraphs)
     drop(model_rows)
-    return Scanner(fitted.families, vocabulary, rare, weights, fitted.bias, max(LEAST_PROBABILITY, edge), held)
+    return Scanner(families, vocabulary, rare, weights, fitted.bias, max(LEAST_PROBABILITY, edge), held)
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = BACKGROUND_DOCS) -> DataFrame:
@@ -275,7 +266,11 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
-    scanner = train(rows, bound)
+    return scan(rows, train(rows, bound))
+
+
+def scan(rows: DataFrame, scanner: Scanner) -> DataFrame:
+    """What license_scan() gives for rows (doc_id, text), by a scanner that was fitted before."""
     seen = rows.select(
         "doc_id",
         F.size(F.filter(F.split("text", "\n"), lambda p: F.trim(p) != "")).cast("long").alias("n_paragraphs"),

@@ -73,6 +73,65 @@ def test_fingerprints_of_nothing_and_of_repeats(spark):
 # Licences.
 
 
+# Held out: no line of these stands in license_texts.
+LICENCES = [
+    ('MIT License', 'MIT'),
+    ('SPDX-License-Identifier: MIT', 'MIT'),
+    ('ISC License', 'ISC'),
+    ('GNU AFFERO GENERAL PUBLIC LICENSE Version 3', 'AGPL-3.0'),
+    ('Apache License, Version 2.0, January 2004', 'Apache-2.0'),
+    ('This software is licensed under GPLv3 or later', 'GPL-3.0'),
+    ('Redistributions of source code must retain the above copyright', 'BSD'),
+    ('Redistributions of source code must retain', 'BSD'),
+    ('THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR', 'MIT'),
+    ('to deal in the Software without restriction, including without limitation the rights', 'MIT'),
+    ('Boost Software License - Version 1.0 - August 17th, 2003', 'BSL-1.0'),
+    ('Licensed under the EUPL, Version 1.2', 'EUPL-1.2'),
+    ('GNU Lesser General Public License v2.1', 'LGPL'),
+    ('Code licensed under Apache 2.0.', 'Apache-2.0'),
+    ('All code in this repository is released under the MIT license', 'MIT'),
+    ('You may use this library under the terms of the GNU LGPL', 'LGPL'),
+    ('Content is available under CC BY-SA 4.0 unless otherwise noted', 'CC-BY-SA'),
+    ('# SPDX-License-Identifier: GPL-2.0-only', 'GPL-2.0'),
+    ('// SPDX-License-Identifier: Apache-2.0', 'Apache-2.0'),
+    ('Distributed under the BSD 3-Clause license, see the file', 'BSD'),
+    ('This file is covered by the Mozilla Public License 2.0', 'MPL-2.0'),
+    ('All rights reserved.', 'proprietary'),
+    ('2019 Acme. All rights reserved.', 'proprietary'),
+    ('This project is free and unencumbered software released into the public domain', 'public-domain'),
+    ('dual-licensed; the zlib license applies', 'Zlib'),
+    ('this program under the Eclipse Public License 2.0', 'EPL-2.0'),
+    ('modify it under the terms of the GNU General Public License as published by', 'GPL'),
+    ('Licensed under the AGPLv3', 'AGPL-3.0'),
+]
+NO_LICENCES = [
+    'The license was framed on the wall of his office.',
+    'Please show your licence at the desk before you rent a car.',
+    'He was granted permission to copy the letters of the author.',
+    'The public library is open on Sunday.',
+    'Software makes up a large part of the cost of a modern car.',
+    'The general terms of the agreement were not disclosed.',
+    'Any person who finds the dog should call the owner.',
+    'The source of the noise was a broken fan.',
+    'The warranty on the washing machine has expired.',
+    'They distribute free copies of the paper at the station.',
+    'The apache helicopter flew over the valley.',
+    'She studied at MIT before moving to Boston.',
+    'The foundation published a report on general health.',
+    'Version 2 of the proposal was better.',
+    'Use of the pool is restricted to members.',
+    'The rights of workers are reserved a chapter of their own.',
+    'The commons was used by all farmers of the village.',
+    'It is provided with two doors and a window.',
+    'The creative team licensed the song for a film.',
+    'You may obtain tickets at the door.',
+    'No warranty could have covered such damage.',
+    'This work was commissioned by the king.',
+    'A notice on the door said closed.',
+    'The program was distributed to all parents at the school.',
+]
+
+
 def test_license_scan(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     held_out = [
@@ -86,21 +145,32 @@ def test_license_scan(spark):
     assert len(got) == len(rows) + len(ODD) + len(held_out)
     found = {r.doc_id: r for r in got}
     assert {i: found[i].license for i, _, _ in held_out} == {i: f for i, _, f in held_out}
-    line = re.compile(r"^(Licensed under CC BY-NC 4\.0\.|This work is licensed under the GNU General Public License, version 3\.|Licensed under the Apache License, Version 2\.0\.|Released under the MIT License\.)$", re.M)
+    line = re.compile(r"^(Licensed under CC BY-NC 4\.0\.|This work is licensed under the GNU General Public License, version 3\.|Licensed under the Apache License, Version 2\.0\.|Released under the MIT License\.|All rights reserved\.)$", re.M)
     assert all(found[i].n_licenses == len(line.findall(t)) for i, t in rows)
     assert all(found[i].n_paragraphs == sum(bool(x.strip(" ")) for x in t.split("\n")) for i, t in rows)
     assert licenses.license_scan(docs.limit(0)).count() == 0
 
 
+def test_licences_in_other_words(spark):
+    """Held-out recall of at least 0.9, wrapped lines and tags included, and no false family among sentences with
+    licence words."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = [(i, t) for i, (t, _) in enumerate(LICENCES)] + [(1_000 + i, t) for i, t in enumerate(NO_LICENCES)]
+    got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licenses.train(docs)).collect()}
+    right = [(got[i] or "").startswith(f) for i, (_, f) in enumerate(LICENCES)]
+    assert np.mean(right) >= 0.9
+    assert sum(got[1_000 + i] is not None for i in range(len(NO_LICENCES))) == 0
+
+
 def test_rare_license_words_are_counted_in_all_documents(spark):
     """Licence words fill the one sampled document and no other: they stay features."""
     rows = [(i, "\n".join(f"plain words of row {i} line {k}" for k in range(60))) for i in range(30)]
     first = licenses._sampled(table(spark, rows).select("doc_id", "text"), 1).first()[0]
-    hot = "the mit licence or license of general software under a version"
+    hot = "the mit has a licence or some license of its own and general software under a version"
     rows = [(i, "\n".join(f"{hot} {k}" for k in range(10)) if i == first else t) for i, t in rows]
     rows += [(1_000 + i, "Released under the MIT License.") for i in range(3)]
     docs = table(spark, rows).select("doc_id", "text")
-    rare = licenses.rare_words(docs, licenses._held(spark))
+    rare = licenses.rare_words(docs, licenses.Marks.of(spark, licenses._held(spark)))
     assert {"mit", "license", "software"} <= set(rare) and "of" not in rare
     assert licenses.train(docs, 1).rare == rare
 
