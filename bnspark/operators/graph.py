@@ -268,9 +268,41 @@ def unshielded_colliders(edges: DataFrame) -> DataFrame:
     return lines.join(into, "y").where("x <> z").join(near, ["x", "z"], "left_anti").select("z", "y").distinct()
 
 
+def _apart(rows: DataFrame, x: str, y: str, edges: DataFrame) -> DataFrame:
+    """Rows whose nodes in columns x and y are not adjacent."""
+    near = neighbors(edges).select(F.col("id").alias(x), F.col("neighbor").alias(y))
+    return rows.join(near, [x, y], "left_anti")
+
+
+def _named(edges: DataFrame, a: str, b: str) -> DataFrame:
+    return edges.select(F.col("src").alias(a), F.col("dst").alias(b))
+
+
+def meek_rule1(edges: DataFrame) -> DataFrame:
+    """Arcs a -> b that the rule c -> a - b, c and b apart, gives, as one step over the whole table."""
+    found = _named(one_way(edges), "c", "a").join(_named(both_ways(edges), "a", "b"), "a").where("c <> b")
+    return _apart(found, "c", "b", edges).select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+
+
 def meek_rule2(edges: DataFrame) -> DataFrame:
     """Arcs a -> b that the rule a -> c -> b, a - b gives, as one step over the whole table."""
     arcs = one_way(edges)
-    first, second = arcs.select(F.col("src").alias("a"), F.col("dst").alias("c")), arcs.select(F.col("src").alias("c"), F.col("dst").alias("b"))
-    lines = both_ways(edges).select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    return first.join(second, "c").select("a", "b").distinct().join(lines, ["a", "b"]).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    through = _named(arcs, "a", "c").join(_named(arcs, "c", "b"), "c").select("a", "b").distinct()
+    return through.join(_named(both_ways(edges), "a", "b"), ["a", "b"]).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+def meek_rule3(edges: DataFrame) -> DataFrame:
+    """Arcs a -> b that the rule a - c -> b, a - d -> b, a - b, c and d apart, gives."""
+    lines = both_ways(edges)
+    side = _named(lines, "a", "c").join(_named(one_way(edges), "c", "b"), "c")
+    side = side.join(_named(lines, "a", "b"), ["a", "b"])
+    two = side.join(side.withColumnRenamed("c", "d"), ["a", "b"]).where("c < d")
+    return _apart(two, "c", "d", edges).select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+
+
+def meek_rule4(edges: DataFrame) -> DataFrame:
+    """Arcs a -> b that the rule a - d -> c -> b, a - b, a and c adjacent, d and b apart, gives."""
+    lines, arcs = both_ways(edges), one_way(edges)
+    path = _named(lines, "a", "d").join(_named(arcs, "d", "c"), "d").join(_named(arcs, "c", "b"), "c").where("d <> b")
+    path = path.join(_named(lines, "a", "b"), ["a", "b"]).join(neighbors(edges).select(F.col("id").alias("a"), F.col("neighbor").alias("c")), ["a", "c"])
+    return _apart(path, "d", "b", edges).select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()

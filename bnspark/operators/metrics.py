@@ -70,20 +70,22 @@ def structural_errors(truth: DataFrame, predicted: DataFrame) -> DataFrame:
 
 
 def pattern_of(graph: PDAG) -> PDAG:
-    """The pattern of a small graph, on the driver."""
-    n = graph.num_vars
-    out = PDAG(n)
+    """The pattern of a small graph, on the driver.  Nodes are bits: an arc into v stays one-way if its tail
+    has a partner among the other one-way tails of v that is not its neighbour."""
+    tails = [0] * graph.num_vars  # of the arcs into a node
+    near = [0] * graph.num_vars
     for u, v in graph.arcs():
         if u != v:
-            out.add_edge(u, v)
-            out.add_edge(v, u)
-    for x in range(n):
-        into = [u for u in graph.directed_parents(x) if u != x]
-        for i, y in enumerate(into):
-            for z in into[i + 1 :]:
-                if not graph.is_adjacent(y, z):
-                    out.remove_edge(x, y)
-                    out.remove_edge(x, z)
+            tails[v] |= 1 << u
+            near[u] |= 1 << v
+            near[v] |= 1 << u
+    pairs = [(u, v) for v in range(graph.num_vars) for u in range(graph.num_vars) if near[v] >> u & 1]
+    out = PDAG(graph.num_vars, pairs)  # all both ways
+    for v, ins in enumerate(tails):
+        strict = sum(1 << u for u, w in pairs if w == v and ins >> u & 1 and not tails[u] >> v & 1)
+        for u, w in pairs:
+            if w == v and strict >> u & 1 and strict & ~near[u] & ~(1 << u):
+                out.remove_edge(v, u)
     return out
 
 

@@ -24,7 +24,7 @@ from bnspark.plans.pc import build_skeleton, pc
 from bnspark.plans.rai import rai
 from bnspark.sources import io
 from bnspark.sources.encoding import EncodedTable, dictionary, ingest
-from bnspark.sources.networks import NETWORKS, dag, simulate
+from bnspark.sources.networks import NETWORKS, dag, simulate, simulate_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -114,9 +114,12 @@ def row_vector(spark, sf_dir):
     return raw(spark, sf_dir).data_row_major.select(F.array_join(F.col("row").cast("array<string>"), ",").alias("row_codes"))
 
 
-@query(name="simulate")
-def simulate_asia(spark, sf_dir):
-    return simulate(spark, "asia", 10_000, 7)
+def _simulate(name: str, rows: int) -> None:
+    query(simulate_sql(name, rows, 7), name="simulate" if name == "asia" else f"simulate_{name}")(lambda spark, sf_dir: simulate(spark, name, rows, 7))
+
+
+for _name, _rows in (("asia", 10_000), ("cancer", 10_000), ("child", 5_000), ("alarm", 2_000)):
+    _simulate(_name, _rows)
 
 
 # Contingency tables.
@@ -254,9 +257,9 @@ def combinations_k(spark, sf_dir):
     return spark.createDataFrame(combinations_of(names, 3), "a string, b string, c string")
 
 
-@query("SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(sum(CAST(embedding[i + 1] AS DOUBLE) * CAST(embedding[j + 1] AS DOUBLE)), 5) AS v FROM embeddings, range(0, 8) AS a(i), range(0, 8) AS b(j) GROUP BY i, j")
+@query("SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(sum(CAST(embedding[i + 1] AS DOUBLE) * CAST(embedding[j + 1] AS DOUBLE)), 5) AS v FROM embeddings, range(0, 64) AS a(i), range(0, 64) AS b(j) GROUP BY i, j")
 def matmul(spark, sf_dir):
-    rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 8)).alias("k", "v"))
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "v"))
     a = rows.select(F.col("k").cast("long").alias("i"), F.col("vec_id").alias("j"), F.col("v").cast("double").alias("v"))
     b = rows.select(F.col("vec_id").alias("i"), F.col("k").cast("long").alias("j"), F.col("v").cast("double").alias("v"))
     return linalg.matmul(a, b).select("i", "j", F.round("v", 5).alias("v"))
@@ -508,9 +511,38 @@ def unshielded_colliders(spark, sf_dir):
     return graph.unshielded_colliders(_edges(spark))
 
 
-@query(f"WITH {_EDGES_SQL}, {_ONE_WAY}, {_BOTH} SELECT DISTINCT bw.src, bw.dst FROM ow a JOIN ow b ON a.dst = b.src JOIN bw ON bw.src = a.src AND bw.dst = b.dst")
+# The edges above, and at higher numbers one place for each of the rules 1, 3 and 4.
+_MEEK = [
+    *_ARCS, (100, 101), (101, 102), (102, 101), *((110, v) for v in (111, 112, 113)), *((v, 110) for v in (111, 112, 113)), (111, 113), (112, 113),
+    *((120, v) for v in (121, 122, 123)), *((v, 120) for v in (121, 122, 123)), (121, 122), (122, 123),
+]
+_MEEK_SQL = "WITH e(src, dst) AS (VALUES " + ", ".join(f"({u}::BIGINT, {v}::BIGINT)" for u, v in _MEEK) + f"), {_ONE_WAY}, {_BOTH}, adj AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
+
+
+def _meek_edges(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_MEEK, "src long, dst long")
+
+
+@query(f"{_MEEK_SQL} SELECT DISTINCT bw.src, bw.dst FROM ow JOIN bw ON ow.dst = bw.src WHERE ow.src <> bw.dst AND (ow.src, bw.dst) NOT IN (SELECT (src, dst) FROM adj)")
+def meek_r1(spark, sf_dir):
+    return graph.meek_rule1(_meek_edges(spark))
+
+
+@query(f"{_MEEK_SQL} SELECT DISTINCT bw.src, bw.dst FROM ow a JOIN ow b ON a.dst = b.src JOIN bw ON bw.src = a.src AND bw.dst = b.dst")
 def meek_r2(spark, sf_dir):
-    return graph.meek_rule2(_edges(spark))
+    return graph.meek_rule2(_meek_edges(spark))
+
+
+@query(f"""{_MEEK_SQL} SELECT DISTINCT l.src, l.dst FROM bw l JOIN bw p ON p.src = l.src JOIN ow c ON c.src = p.dst AND c.dst = l.dst
+ JOIN bw q ON q.src = l.src AND q.dst <> p.dst JOIN ow d ON d.src = q.dst AND d.dst = l.dst WHERE (p.dst, q.dst) NOT IN (SELECT (src, dst) FROM adj)""")
+def meek_r3(spark, sf_dir):
+    return graph.meek_rule3(_meek_edges(spark))
+
+
+@query(f"""{_MEEK_SQL} SELECT DISTINCT l.src, l.dst FROM bw l JOIN bw p ON p.src = l.src JOIN ow d ON d.src = p.dst JOIN ow c ON c.src = d.dst AND c.dst = l.dst
+ JOIN adj ON adj.src = l.src AND adj.dst = c.src WHERE p.dst <> l.dst AND (p.dst, l.dst) NOT IN (SELECT (src, dst) FROM adj)""")
+def meek_r4(spark, sf_dir):
+    return graph.meek_rule4(_meek_edges(spark))
 
 
 _ASIA = dag("asia")
@@ -665,16 +697,27 @@ def exhaustive_bdeu(spark, sf_dir):
 
 
 # For each order of four variables the best parents among those before; the best order has the best score.
-@query(f"""WITH {BN_SQL}, f AS MATERIALIZED ({_SMALL_SQL}), v(child, bit) AS (VALUES {", ".join(f"('{c}', {1 << i})" for i, c in enumerate(_SMALL))}),
+_BEST_SQL = f"""WITH {BN_SQL}, f AS MATERIALIZED ({_SMALL_SQL}), v(child, bit) AS (VALUES {", ".join(f"('{c}', {1 << i})" for i, c in enumerate(_SMALL))}),
  o AS (SELECT a.child AS a, b.child AS b, c.child AS c, d.child AS d, a.bit AS ba, b.bit AS bb, c.bit AS bc FROM v a JOIN v b ON b.bit <> a.bit JOIN v c ON c.bit NOT IN (a.bit, b.bit) JOIN v d ON d.bit NOT IN (a.bit, b.bit, c.bit)),
  best AS (SELECT child, pool, max(score) AS score FROM f, range(0, 16) AS p(pool) WHERE mask & ~pool = 0 GROUP BY ALL)
- SELECT round(max(w.score + x.score + y.score + z.score), 3) AS score FROM o JOIN best w ON w.child = a AND w.pool = 0 JOIN best x ON x.child = b AND x.pool = ba JOIN best y ON y.child = c AND y.pool = ba + bb JOIN best z ON z.child = d AND z.pool = ba + bb + bc""")
+ SELECT round(max(w.score + x.score + y.score + z.score), 3) AS score FROM o JOIN best w ON w.child = a AND w.pool = 0 JOIN best x ON x.child = b AND x.pool = ba JOIN best y ON y.child = c AND y.pool = ba + bb JOIN best z ON z.child = d AND z.pool = ba + bb + bc"""
+
+
+@query(_BEST_SQL)
 def exhaustive_small(spark, sf_dir):
     enc = bn(spark, sf_dir, _SMALL)
     found = exhaustive_search(enc, BDeu(1.0), 3)
     return spark.createDataFrame([(round(network_score(enc, [found.predecessors(v) for v in range(4)], BDeu(1.0)), 3),)], "score double")
 
 
+def _pattern_sql(name: str) -> str:
+    """The arcs of v-structures, and all other edges both ways, from the network's arcs."""
+    arcs = ", ".join(f"('{u}', '{v}')" for v, ps in sorted(NETWORKS[name].items()) for u in ps)
+    return f"""WITH a(u, v) AS (VALUES {arcs}), adj AS (SELECT u, v FROM a UNION SELECT v, u FROM a),
+ fixed AS (SELECT DISTINCT x.u, x.v FROM a x JOIN a y ON x.v = y.v AND x.u <> y.u WHERE (x.u, y.u) NOT IN (SELECT (u, v) FROM adj))
+ SELECT u AS src_name, v AS dst_name FROM adj WHERE (v, u) NOT IN (SELECT (u, v) FROM fixed)"""
+
+
 def _pc_oracle(name: str) -> None:
     truth = dag(name)
     names = sorted(NETWORKS[name])
@@ -685,16 +728,16 @@ def _pc_oracle(name: str) -> None:
         return _named_arcs(spark, pc(truth.num_vars, OracleGraph(truth), truth.num_vars), names)
 
     run.__name__ = f"pc_oracle_{name}"
-    query(_arcs_sql([(names[u], names[v]) for u, v in metrics.pattern_of(truth).arcs()]))(run)
+    query(_pattern_sql(name))(run)
 
 
 for _name in NETWORKS:
     _pc_oracle(_name)
 
 
-@query()
+@query(_BEST_SQL)
 def sa_best_score(spark, sf_dir):
-    enc = bn(spark, sf_dir)
-    found = simulated_annealing(enc, BDeu(1.0), 3, 2_000, seed=1, num_chains=4)
+    enc = bn(spark, sf_dir, _SMALL)
+    found = simulated_annealing(enc, BDeu(1.0), 3, 2_000, init_temp=2_000.0, cooling_rate=0.99, seed=1, num_chains=8)
     score = network_score(enc, [found.predecessors(v) for v in range(enc.num_of_vars)], BDeu(1.0))
-    return spark.createDataFrame([(round(score, 4), len(found.arcs()))], "score double, arcs long")
+    return spark.createDataFrame([(round(score, 3),)], "score double")

@@ -13,10 +13,14 @@ _OWN_DIR: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or, where that is unset (local tests), one of our own."""
+    """The folder in spark.checkpoint.dir, or, where that is unset and all tasks run in this process (tests),
+    one of our own.  A cluster without that setting is refused: its executors don't see a local folder."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="bnspark-"))
         atexit.register(shutil.rmtree, _OWN_DIR[0], ignore_errors=True)

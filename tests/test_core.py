@@ -380,7 +380,7 @@ def test_annealing(enc):
     assert found == simulated_annealing(some, BDeu(1.0), 2, 800, seed=5, num_chains=2)
     assert all(len(found.predecessors(v)) <= 2 and not any(found.is_ancestor(v, u) for u in found.predecessors(v)) for v in range(4))
     score = network_score(some, [found.predecessors(v) for v in range(4)], BDeu(1.0))
-    assert max(r.score for r in chains(some, BDeu(1.0), 2, 800, seed=5, num_chains=2).collect()) == pytest.approx(score, abs=1e-6)
+    assert max(r.score for r in chains(some, BDeu(1.0), 2, 800, seed=5, num_chains=2).collect()) == pytest.approx(score, abs=1e-4)
     assert simulated_annealing(some, BDeu(1.0), 0, 50, num_chains=1).arcs() == []
     with pytest.raises(ValueError):
         simulated_annealing(some, BDeu(1.0), 4)
