@@ -39,7 +39,7 @@ MOST_BITS = 16
 OVERLAP = 0.75
 LONG, PIECE = 16, 2  # bytes of a word that stays whole; a longer one is cut at one place in PIECE, on average
 # Groups are cut into blocks of SMALL lines, MANY blocks at most while these stay below LARGE lines.
-SMALL, MANY, LARGE = 64, 32, 2_000
+SMALL, MANY, LARGE = 512, 16, 3_000
 NO_ID = -(1 << 63)  # stands for a null doc_id in keys
 # What white space there is beside single spaces between words, in UTF-8: if a text holds none of it, its
 # lines are normal as they are.
@@ -292,21 +292,26 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = lines.slice(s, e - s).to_pylist()
             name = ids.slice(s, e - s).to_pylist()
             tokens = Tokens([x.encode("utf-8", "replace") for x in text])
+            size = np.array([len(x) for x in text])
             across = bool((own != own[0]).any())
             label = np.arange(e - s)
             for i in range(1, e - s):
-                near = (popcount(fp[:i] ^ fp[i]) <= MOST_BITS) & (label[:i] != label[i])
+                bits = popcount(fp[:i] ^ fp[i])
+                near = (bits <= MOST_BITS) & (np.minimum(size[:i], size[i]) >= SIMILARITY * np.maximum(size[:i], size[i]))
                 if across:
                     near &= own[:i] != own[i]
                 others = np.flatnonzero(near)
                 others = others[(keys[others] == keys[i]).any(axis=1)]
-                if len(others):
-                    others = others[tokens.overlap(i, others)]
-                for j in others.tolist():
-                    if label[j] != label[i] and alike(text[j], text[i]):
-                        label[label == label[j]] = label[i]
-                        left.append(name[j])
-                        right.append(name[i])
+                others = others[np.argsort(bits[others], kind="stable")]  # the closest first: its group falls out with it
+                step = 4
+                while len(others := others[label[others] != label[i]]):
+                    some, others = others[:step], others[step:]
+                    step *= 2
+                    for j in some[tokens.overlap(i, some)].tolist():
+                        if label[j] != label[i] and alike(text[j], text[i]):
+                            label[label == label[j]] = label[i]
+                            left.append(name[j])
+                            right.append(name[i])
         if left:
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
 
