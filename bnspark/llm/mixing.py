@@ -6,11 +6,11 @@ in each domain by that posterior.  Rates r_d >= 0, the copies of a document in t
 
     (A r - t)' M (A r - t),   (A r)_k = sum_d r_d n_d p_dk / N,   M = (sum_d n_d p_d p_d' / N)^-1
 
-by projected gradient from r = 1, t being the target share of each domain's words.  Rates are also held
-below MOST_RATE, so that a domain which hardly any document serves does not repeat those without end.  A step changes a
+by projected gradient from r = 1, t being the target share of each domain's words.  A step changes a
 rate by a product of its posterior and K numbers, the same for all, so a rate is a function of the
 posterior and the steps so far: each round is one pass that sums K numbers and nothing else moves.  With
-this M a step without any rate at zero is exact, so a few rounds do.
+this M a step without any rate at zero is exact, so a few rounds do.  Rounds go on until the totals stand still;
+what is left between totals and targets, where no rates can meet them, is reported.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ DOMAINS = ("good", "poor", "toxic")
 TARGETS = (0.90, 0.06, 0.04)
 SAMPLE = 4_000  # labelled documents, at most, that are fitted on
 VOCABULARY, LEAST_DOCS = 20_000, 5
-ROUNDS, CLOSE, MOST_RATE = 30, 1e-6, 8.0
+CLOSE, MOST_ROUNDS = 1e-6, 500
 SHARES = 16
 PARTING, MARKS = "\n\r\t.,", "!?%#*&$|"
 SHARE = "\x01"  # starts the features that are no words
@@ -59,130 +60,117 @@ def with_features(rows: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Posterior:
-    """Weights of the features that have any, domain after domain, and the bias of each domain."""
+    """The fitted models, or, where there is nothing to tell apart, the domains that may be."""
 
-    features: list[str]
-    weights: list[float]
-    bias: list[float]
+    words: CountVectorizerModel | None
+    domains: LogisticRegressionModel | None
+    possible: list[bool]
 
     def of(self, rows: DataFrame) -> DataFrame:
         """rows with p, the array of the domains' posteriors, in place of features."""
-        rest = [c for c in rows.columns if c != "features"]
-        n, k = len(self.features), len(self.bias)
-        bias = F.array(*[F.lit(b) for b in self.bias])
-        if not n:
-            scored = rows.select(*rest, bias.alias("_z"))
-        else:
-            known = F.split(F.lit("\n".join(self.features)), "\n")
-            weights = F.split(F.lit(",".join(map(str, self.weights))), ",").cast("array<double>")
-            hits = rows.select(*rest, F.array_intersect("features", known).alias("_h"))
-            at = F.transform("_h", lambda w: F.array_position(known, w).cast("int"))
-            hits = hits.select(*rest, at.alias("_at"))
-            z = F.transform(
-                F.sequence(F.lit(0), F.lit(k - 1)),
-                lambda j: F.aggregate("_at", F.element_at(bias, j + 1), lambda a, i: a + F.element_at(weights, j * n + i)),
-            )
-            scored = hits.select(*rest, z.alias("_z"))
-        scored = scored.select(*rest, F.transform("_z", lambda z: F.exp(z - F.array_max("_z"))).alias("_e"))
-        total = F.aggregate("_e", F.lit(0.0), lambda a, x: a + x)
-        return scored.select(*rest, F.transform("_e", lambda e: e / total).alias("p"))
+        rest = [F.col(f"`{c}`") for c in rows.columns if c != "features"]
+        if self.words is None or self.domains is None:
+            share = 1.0 / sum(self.possible)
+            return rows.select(*rest, F.array(*[F.lit(share if x else 0.0) for x in self.possible]).alias("p"))
+        scored = self.domains.transform(self.words.transform(rows))
+        p = vector_to_array("_probability")
+        known = [F.get(p, F.lit(k)) if x else F.lit(0.0) for k, x in enumerate(self.possible)]
+        total = sum(known[1:], known[0])
+        return scored.select(*rest, F.array(*[x / total for x in known]).alias("p"))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Posterior:
-    """Fit to the labelled documents with the smallest hashes of their ids; of labels that differ for a
-    document the worse counts.  A domain without any label gets no weight at all, and without labels
-    all domains are as likely."""
+    """Fit to the labelled documents with the smallest hashes of their ids, at most `sample`; of labels that
+    differ for a document the worse counts, and of texts that share an id the least.  A domain without any label
+    is not possible, and without labels all domains are as likely."""
     named = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id")
     label = F.when(F.max("toxic") == 1, 2.0).when(F.min("quality") == 0, 1.0).otherwise(0.0)
     some = materialize(named.agg(label.alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "labels")
-    rows = docs.join(F.broadcast(some), "doc_id").select("label", "text")  # at most `sample` labels
-    rows = materialize(with_features(rows), "fit")
+    rows = docs.join(F.broadcast(some), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # at most `sample` labels
+    rows = materialize(with_features(rows.select("label", "text")), "fit")
     seen = {int(r[0]): r[1] for r in rows.groupBy("label").count().collect()}
+    possible = [not seen or k in seen for k in range(len(DOMAINS))]
     if len(seen) < 2:
         drop(rows)
-        known = [0.0 if k in seen or not seen else -30.0 for k in range(len(DOMAINS))]
-        return Posterior([], [], known)
+        drop(some)
+        return Posterior(None, None, possible)
     least = min(LEAST_DOCS, max(1, sum(seen.values()) // 50))  # fewer in small samples
-    counted = CountVectorizer(inputCol="features", outputCol="x", minDF=least, vocabSize=VOCABULARY, binary=True).fit(rows)
-    fitted = LogisticRegression(featuresCol="x", family="multinomial", regParam=2e-3, elasticNetParam=1.0, maxIter=80).fit(
-        counted.transform(rows.coalesce(1)).select("label", "x")  # at most `sample` rows
-    )
+    counted = CountVectorizer(inputCol="features", outputCol="_x", minDF=least, vocabSize=VOCABULARY, binary=True).fit(rows)
+    learner = LogisticRegression(
+        featuresCol="_x", probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_domain", family="multinomial",
+        regParam=2e-3, elasticNetParam=1.0, maxIter=80,
+    )
+    fitted = learner.fit(counted.transform(rows.coalesce(1)).select("label", "_x"))  # at most `sample` rows
     drop(rows)
     drop(some)
-    w = fitted.coefficientMatrix.toArray()
-    bias = fitted.interceptVector.toArray()
-    k = len(DOMAINS)
-    w = np.vstack([w, np.zeros((k - len(w), w.shape[1]))])
-    bias = [float(bias[j]) if j < len(bias) and seen.get(j) else -30.0 for j in range(k)]
-    used = np.flatnonzero(np.abs(w).max(0) > 0)
-    vocabulary = counted.vocabulary  # one transfer
-    return Posterior([vocabulary[i] for i in used], [float(x) for x in w[:, used].ravel()], bias)
+    return Posterior(counted, fitted, possible)
 
 
-def rate_of(p: Column, steps: Sequence[Sequence[float]]) -> Column:
+def rate_of(p: Column, steps: Sequence[Sequence[float]], most_rate: float | None = None) -> Column:
     """The rate of a document with posteriors p after the steps so far."""
     if not steps:
         return F.lit(1.0)
     given = F.transform(F.split(F.lit(";".join(",".join(map(repr, s)) for s in steps)), ";"), lambda s: F.split(s, ",").cast("array<double>"))
     move = lambda g: sum((p[k] * g[k] for k in range(1, len(steps[0]))), p[0] * g[0])
-    return F.aggregate(given, F.lit(1.0), lambda r, g: F.least(F.lit(MOST_RATE), F.greatest(F.lit(0.0), r - move(g))))
+    bound = (lambda r: r) if most_rate is None else lambda r: F.least(F.lit(float(most_rate)), r)
+    return F.aggregate(given, F.lit(1.0), lambda r, g: bound(F.greatest(F.lit(0.0), r - move(g))))
 
 
-def fit_rates(members: DataFrame, targets: Sequence[float], rounds: int = ROUNDS) -> list[list[float]]:
-    """Steps of the projected gradient over members (n_tokens, p).  Targets are shares of all words and
-    need not sum to one.  Without words there are no steps; a target that no document can serve is
-    approached as far as least squares go."""
+def fit_rates(members: DataFrame, targets: Sequence[float], most_rate: float | None = None) -> tuple[list[list[float]], list[float]]:
+    """Steps of the projected gradient over members (n_tokens, p), and the gaps that are left: for each domain its
+    share of all words less its target.  Targets need not sum to one.  Rounds end when the shares change by
+    less than CLOSE; MOST_ROUNDS without that raise.  Without words there are no steps."""
     k = len(targets)
     sums = [F.sum(F.col("n_tokens") * F.col("p")[a] * F.col("p")[b]).alias(f"h{a}{b}") for a in range(k) for b in range(a, k)]
     first = members.agg(F.sum("n_tokens").alias("n"), *sums).first()
     if not first["n"]:
-        return []
+        return [], [-float(t) for t in targets]
     total = float(first["n"])
     h = np.array([[first[f"h{min(a, b)}{max(a, b)}"] / total for b in range(k)] for a in range(k)])
     m = np.linalg.inv(h + 1e-9 * np.eye(k))
     steps: list[list[float]] = []
-    for _ in range(rounds):
-        served = F.col("n_tokens") * rate_of(F.col("p"), steps)
-        got = members.agg(*[F.sum(served * F.col("p")[a]) for a in range(k)]).first()
-        rest = np.array([g / total for g in got]) - np.array(targets)
-        if np.abs(rest).max() < CLOSE:
-            break
-        steps.append([float(x) for x in m @ rest])
-    return steps
-
-
-def _members(docs: DataFrame, posterior: Posterior) -> DataFrame:
-    return posterior.of(with_features(docs.select("doc_id", "text")))
+    before = np.full(k, np.inf)
+    for _ in range(MOST_ROUNDS):
+        served = F.col("n_tokens") * rate_of(F.col("p"), steps, most_rate)
+        got = np.array(members.agg(*[F.sum(served * F.col("p")[a]) for a in range(k)]).first(), float) / total
+        gap = got - np.array(targets)
+        if np.abs(gap).max() < CLOSE or np.abs(got - before).max() < CLOSE:
+            return steps, [float(x) for x in gap]
+        before = got
+        steps.append([float(x) for x in m @ gap])
+    raise RuntimeError(f"rates still change after {MOST_ROUNDS} rounds; gaps {gap}")
 
 
 def mixing_rates(
-    docs: DataFrame, labels: DataFrame, targets: Sequence[float] = TARGETS, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+    docs: DataFrame, labels: DataFrame, targets: Sequence[float] = TARGETS, id_col: str = "doc_id", text_col: str = "text",
+    most_rate: float | None = None,
+) -> DataFrame:
     """One row for each row of docs, repeats included: doc_id, n_tokens, the posteriors p_good, p_poor and
-    p_toxic, and rate, its copies in the mixture.  Null and blank texts have no words and take part in no
-    total, but get the rate of their posterior.  A null doc_id has no label and stays null.  An empty
+    p_toxic, rate, its copies in the mixture, and gaps, what each domain's share misses its target by, the same
+    in all rows.  Rates have no bound but most_rate, if given.  Null and blank texts have no words and take part
+    in no total, but get the rate of their posterior.  A null doc_id has no label and stays null.  An empty
     table gives no rows; other columns are not read."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    members = materialize(_members(rows, train(rows, labels)), "members")
-    steps = fit_rates(members, targets)
+    members = materialize(train(rows, labels).of(with_features(rows)), "members")
+    steps, gaps = fit_rates(members, targets, most_rate)
     return members.select(
         "doc_id", "n_tokens", *[F.col("p")[k].alias("p_" + name) for k, name in enumerate(DOMAINS)],
-        rate_of(F.col("p"), steps).alias("rate"),
+        rate_of(F.col("p"), steps, most_rate).alias("rate"), F.array(*map(F.lit, gaps)).alias("gaps"),
     )
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: Sequence[float] = TARGETS) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, targets: Sequence[float] = TARGETS, most_rate: float | None = None) -> DataFrame:
     """The rows of docs, with all their columns, each as often as its rate says: its whole part, and once
-    more where a hash of doc_id and text falls below the rest.  The rates are functions of the texts, so
-    they are worked out again in the rows' own pass and no text moves."""
+    more where a hash of doc_id and text falls below the rest.  Posteriors are worked out once and written with
+    the rows; the rounds read nothing but them.  Null texts have the rate of a text without words, rows with a
+    null doc_id have no label, rows that repeat are mixed each for itself and alike, an empty table gives no
+    rows, and no name of another column matters."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    posterior = train(rows, labels)
-    members = materialize(_members(rows, posterior), "members")
-    steps = fit_rates(members, targets)
-    drop(members)
-    own = posterior.of(with_features(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").cast("string").alias("text"))))
-    own = own.select("_row", rate_of(F.col("p"), steps).alias("_r"))
-    part = F.pmod(F.xxhash64(F.lit(8), F.col("_row.doc_id"), F.col("_row.text")), F.lit(1 << 30)) / float(1 << 30)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    members = materialize(train(rows, labels).of(with_features(whole)), "members")
+    steps, _ = fit_rates(members.select("n_tokens", "p"), targets, most_rate)
+    own = members.select("row", rate_of(F.col("p"), steps, most_rate).alias("_r"))
+    part = F.pmod(F.xxhash64(F.lit(8), F.col("row.doc_id"), F.col("row.text")), F.lit(1 << 30)) / float(1 << 30)
     times = F.floor(F.col("_r") + part).cast("int")
-    copies = own.select("_row", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))))
-    return copies.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    copies = own.select("row", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))))
+    return copies.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -333,12 +333,12 @@ def brute_rates(n, p, targets):
     total = n.sum()
     m = np.linalg.inv((p * n[:, None]).T @ p / total + 1e-9 * np.eye(len(targets)))
     r = np.ones(len(n))
-    for _ in range(mixing.ROUNDS):
-        rest = (r * n) @ p / total - targets
-        if np.abs(rest).max() < mixing.CLOSE:
-            break
-        r = np.clip(r - p @ (m @ rest), 0, mixing.MOST_RATE)
-    return r
+    before = np.inf
+    while True:
+        got = (r * n) @ p / total
+        if min(np.abs(got - targets).max(), np.abs(got - before).max()) < mixing.CLOSE:
+            return r
+        r, before = np.maximum(r - p @ (m @ (got - targets)), 0), got
 
 
 def test_mixing_rates(spark):
@@ -363,11 +363,29 @@ def test_mixing_rates(spark):
 def test_projection_clips_and_bounds(spark):
     rows = [(10, [0.9, 0.1]), (10, [0.1, 0.9]), (5, [0.5, 0.5]), (0, [0.3, 0.7])]
     members = spark.createDataFrame(rows, "n_tokens long, p array<double>")
-    for targets in ((0.9, 0.0), (0.0, 0.0), (3.0, 3.0), (0.5, 0.5)):
-        steps = mixing.fit_rates(members, targets)
-        got = [r[0] for r in members.select(mixing.rate_of(members["p"], steps)).collect()]
-        want = brute_rates(np.array([r[0] for r in rows], float), np.array([r[1] for r in rows]), np.array(targets))
-        assert np.allclose(got, want) and min(got) >= 0 and max(got) <= mixing.MOST_RATE
+    n, p = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows])
+    for targets in ((0.9, 0.0), (0.0, 0.0), (3.0, 3.0), (0.5, 0.5), (0.05, 20.0)):
+        steps, gaps = mixing.fit_rates(members, targets)
+        got = np.array([r[0] for r in members.select(mixing.rate_of(members["p"], steps)).collect()])
+        assert np.allclose(got, brute_rates(n, p, np.array(targets))) and min(got) >= 0
+        assert np.allclose(gaps, (got * n) @ p / n.sum() - targets, atol=1e-9)
+        assert max(np.abs(gaps)) < 1e-5 or targets in ((0.9, 0.0), (0.05, 20.0))  # those can't be served
+    steps, gaps = mixing.fit_rates(members, (3.0, 3.0), most_rate=2.0)
+    assert max(r[0] for r in members.select(mixing.rate_of(members["p"], steps, 2.0)).collect()) == 2.0 and min(gaps) < -0.1
+
+
+def test_posteriors_are_those_of_the_model(spark):
+    """Softmax of the fitted weights over the different words of each text, worked out plainly."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.select("doc_id", "text")
+    model = mixing.train(rows, labels)
+    features = {r.doc_id: r.features for r in mixing.with_features(rows).collect()}
+    at = {w: i for i, w in enumerate(model.words.vocabulary)}
+    weights, bias = model.domains.coefficientMatrix.toArray(), model.domains.interceptVector.toArray()
+    for r in model.of(mixing.with_features(rows)).collect():
+        z = bias + weights[:, [at[w] for w in features[r.doc_id] if w in at]].sum(1)
+        e = np.exp(z - z.max())
+        assert np.allclose(r.p, e / e.sum())
 
 
 def test_mixing_without_labels_or_documents(spark):
@@ -421,16 +439,52 @@ def test_quality_of_odd_tables(spark):
     assert out.columns == docs.columns and out.count() == len(ODD)
 
 
+def planted(rng, n, share):
+    x = np.zeros((n, quality.WIDTH), np.float32)
+    x[:, :20] = rng.normal(size=(n, 20))
+    y = rng.random(n) < share
+    x[:, 0] += np.where(y, 2.5, -2.5)
+    return x, y
+
+
+@pytest.mark.parametrize("share", [0.3, 0.6, 0.9])
+def test_prior_of_planted_shares(share):
+    rng = np.random.default_rng(1)
+    trusted, _ = planted(rng, 1_500, 1.0)
+    unlabelled, _ = planted(rng, 3_000, share)
+    assert abs(quality.estimated_prior(trusted, unlabelled) - share) < 0.08
+    assert quality.estimated_prior(trusted[:5], unlabelled) == 0.5
+
+
 def test_non_negative_risk_finds_the_negatives():
     rng = np.random.default_rng(0)
-    x = np.zeros((4_000, quality.WIDTH))
-    x[:, :20] = rng.normal(size=(4_000, 20))
-    y = rng.random(4_000) < 0.7
-    x[:, 0] += np.where(y, 2.5, -2.5)
+    x, y = planted(rng, 4_000, 0.7)
     model = quality.fit(x[:2_000][y[:2_000]], x[2_000:], 0.7)
     assert np.mean((model.score(x) >= 0.5) == y) > 0.95
 
 
+def test_non_negative_risk_is_that_of_its_definition():
+    """A step of the descent goes down the risk, worked out plainly."""
+    rng = np.random.default_rng(2)
+    x, y = planted(rng, 2_000, 0.7)
+    p, u = x[:1_000][y[:1_000]], x[1_000:]
+
+    def risk(w, b):
+        loss = lambda z: np.log1p(np.exp(-z))
+        zp, zu = p @ w + b, u @ w + b
+        return 0.7 * loss(zp).mean() + max(0.0, loss(-zu).mean() - 0.7 * loss(-zp).mean())
+
+    at = [risk(*quality._descend(p, u, 0.7, steps)) for steps in (1, 10, 100)]
+    assert at[0] > at[1] > at[2]
+
+
+def test_repeated_ids_are_sampled_alike(spark):
+    rows = [(7, "one text"), (7, "another text"), (8, "more")]
+    for order in (rows, rows[::-1]):
+        x = quality._sampled(spark.createDataFrame(order, "doc_id long, text string"), spark.createDataFrame([(7,), (8,)], "doc_id long"))
+        assert sorted(map(bytes, x)) == sorted([min(quality.features(t).tobytes() for _, t in rows[:2]), quality.features("more").tobytes()])
+
+
 # Tokens.
 
 
