@@ -49,6 +49,7 @@ ODD_SPACE = [
 ]
 LOW44 = np.uint64((1 << 44) - 1)
 EACH_BYTE = np.uint64(0x0101010101010101)
+REACH = 8  # words in which most_distance() looks for the next match
 KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
@@ -195,11 +196,34 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
+def most_distance(a: str, b: str) -> int:
+    """An upper bound of the Levenshtein distance in little more than a pass over the words: they are matched in
+    order, behind a mismatch from the nearest place on where two agree, and what lies between is replaced."""
+    x, y = a.split(" "), b.split(" ")
+    n, m = len(x), len(y)
+    i = j = cost = 0
+    while i < n and j < m:
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        skip = 1, 1
+        for far in range(1, REACH):
+            found = next((k for k in range(far + 1) if i + k < n and j + far - k < m and x[i + k] == y[j + far - k]), None)
+            if found is not None:
+                skip = found, far - found
+                break
+        cost += max(sum(len(w) + 1 for w in x[i : i + skip[0]]), sum(len(w) + 1 for w in y[j : j + skip[1]]))
+        i, j = i + skip[0], j + skip[1]
+    return cost + sum(len(w) + 1 for w in x[i:]) + sum(len(w) + 1 for w in y[j:])
+
+
 def alike(a: str, b: str, least: float = SIMILARITY) -> bool:
     """Whether 1 - distance / longer length is at least `least`."""
     longer = max(len(a), len(b))
     if min(len(a), len(b)) < least * longer:
         return False
+    if longer - most_distance(a, b) >= least * longer:
+        return True
     return longer - edit_distance(a, b) >= least * longer - 1e-9
 
 
@@ -286,12 +310,12 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every = t.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, KEYS)
         at = starts_of([comp, part])
         left, right = [], []
+        tokens = Tokens(lines.cast(pa.binary()).to_pylist())
         for k in np.flatnonzero(np.diff(at) > 1):
             s, e = int(at[k]), int(at[k + 1])
             fp, keys, own = signed[s:e].view(np.uint64), every[s:e], block[s:e]
             text = lines.slice(s, e - s).to_pylist()
             name = ids.slice(s, e - s).to_pylist()
-            tokens = Tokens([x.encode("utf-8", "replace") for x in text])
             size = np.array([len(x) for x in text])
             across = bool((own != own[0]).any())
             label = np.arange(e - s)
@@ -307,7 +331,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 while len(others := others[label[others] != label[i]]):
                     some, others = others[:step], others[step:]
                     step *= 2
-                    for j in some[tokens.overlap(i, some)].tolist():
+                    for j in some[tokens.overlap(s + i, s + some)].tolist():
                         if label[j] != label[i] and alike(text[j], text[i]):
                             label[label == label[j]] = label[i]
                             left.append(name[j])

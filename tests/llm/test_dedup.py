@@ -125,6 +125,9 @@ def test_normal_lines_and_distances():
                 new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
             row = new
         assert line_dedup.edit_distance(a, b) == row[-1]
+        spaced = a.replace("c", " "), b.replace("c", " ")
+        assert line_dedup.most_distance(*spaced) >= line_dedup.edit_distance(*spaced)
+    assert line_dedup.most_distance("one two three four", "one 2 three four") == 4
     long = "これは空白のない長い行です。一文字だけ違う行を見つけます。".encode()
     lines = [b"a b c", b"x", b"many " * 700 + b"words", b"a b c", long, b"y" * 100, long + b" " + long]
     fp, keys = line_dedup.fingerprints(lines)
