@@ -3,9 +3,10 @@
 The canonical form of a text is NFKC, full case folding, NFKC again, and white space folded to single
 spaces and trimmed.  Spark has no function for the first two, so `reflect` calls the static methods of
 the ICU library that Spark itself ships; the rest are plain SQL functions, and no row leaves the JVM.
-The digest is two xxHash64 of the canonical form under different seeds.  Rows that share a digest are
+The digest is two xxHash64 of the canonical form under different seeds.  Documents that share a digest are
 compared byte by byte; should canonical forms ever differ inside a bucket, all its digests get the
-SHA-256 of the form as a suffix, so equal digests mean equal canonical bytes.
+SHA-256 of the form as a suffix, so equal digests of documents mean equal canonical bytes.  Digests of edited
+texts are compared byte by byte with their own document's, not with each other.
 """
 
 from __future__ import annotations
@@ -80,15 +81,21 @@ def with_next(rows: DataFrame, id_col: str, carried: list[str]) -> DataFrame:
     )
 
 
-def clashes(docs: DataFrame, prints: DataFrame, text_col: str, bits: int) -> DataFrame:
-    """Digests (fp) of prints whose rows have different canonical forms.  Only texts of buckets with
-    at least two rows, and a few more, move, reduced to the least and greatest of each task before they do."""
+def clashes(docs: DataFrame, prints: DataFrame, id_col: str, text_col: str, bits: int) -> DataFrame:
+    """Digests (fp) of prints whose rows have different canonical forms.  Only documents of buckets with at least
+    two rows, and a few more, are made canonical again, and they move reduced to the least and greatest of each
+    task."""
     many = materialize(prints.groupBy("fp").count().where("count > 1").select("fp"), "buckets")
-    forms = docs.select(canonical(F.col(text_col)).alias("form"))
+    own = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    some = prints.join(maybe_broadcast(many), "fp", "left_semi").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))
+    some = materialize(some.distinct(), "holders")
+    held = maybe_in(docs.select(own.alias("id"), F.col(text_col).cast("string").alias("text")), "id", some, some.count())
+    forms = held.select(canonical(F.col("text")).alias("form"))
     forms = maybe_in(forms.select("form", wide_hash(F.col("form"), bits).alias("fp")), "fp", many, many.count())
     out = forms.groupBy("fp").agg(F.min("form").alias("low"), F.max("form").alias("high")).where("low <> high")
     out = materialize(out.select("fp"), "clashes")
     drop(many)
+    drop(some)
     return out
 
 
@@ -140,7 +147,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return materialize(forms, "prints")
 
     out = prints(None)
-    clashed = clashes(docs, out, text_col, bits)
+    clashed = clashes(docs, out, id_col, text_col, bits)
     if not clashed.isEmpty():
         drop(out)
         out = prints(clashed)
