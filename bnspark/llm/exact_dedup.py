@@ -2,7 +2,7 @@
 
 Texts, with A-Z lower-cased, are cut where a rolling hash of the last 32 bytes hits a mask, and where
 a piece would get longer than MOST_CHUNK.  Equal chunks are brought together once, byte-compared, and
-named by a 128-bit digest, with a rank appended where different chunks share one.  A document is its
+named by a 128-bit digest, with a rank appended (by SHA-256) where different chunks share one.  A document is its
 ordered list of chunk names, and documents are equal exactly if their lists are: long texts take part
 in the grouping as a few bytes a chunk.
 """
@@ -117,10 +117,10 @@ def _chunks(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
 def _patched(docs: DataFrame, clashed: DataFrame, width: int) -> DataFrame:
     """Recipes in which each name whose digest is shared by different chunks is followed by the rank
-    of its bytes among them; all other names by rank 0."""
+    of its SHA-256 among them; all other names by rank 0.  No bytes of chunks leave their task."""
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "text_sha256", "pos", "digest", "data"]
+        names = ["doc_id", "text_sha256", "pos", "digest", "sha"]
         for batch in batches:
             for i, value in enumerate(batch.column(1)):
                 data = _normal(value)
@@ -128,17 +128,17 @@ def _patched(docs: DataFrame, clashed: DataFrame, width: int) -> DataFrame:
                 got = list(_pieces(data, width)) or [(b"", b"")]
                 cols = [pa.concat_arrays([own] * len(got)), pa.array([sha] * len(got)), pa.array(range(len(got)), pa.int32())]
                 yield pa.RecordBatch.from_arrays(
-                    [*cols, pa.array([d for d, _ in got], pa.binary()), pa.array([x for _, x in got], pa.binary())], names=names
+                    [*cols, pa.array([d for d, _ in got], pa.binary()), pa.array([hashlib.sha256(x).digest() for _, x in got])], names=names
                 )
 
-    schema = "doc_id long, text_sha256 string, pos int, digest binary, data binary"
+    schema = "doc_id long, text_sha256 string, pos int, digest binary, sha binary"
     found = docs.mapInArrow(occurrences, schema)
     hit = maybe_broadcast(clashed)
-    ranks = found.join(hit, "digest", "left_semi").select("digest", "data").distinct()
+    ranks = found.join(hit, "digest", "left_semi").select("digest", "sha").distinct()
     ranks = materialize(
-        ranks.select("digest", "data", F.row_number().over(Window.partitionBy("digest").orderBy("data")).alias("rank")), "ranks"
+        ranks.select("digest", "sha", F.row_number().over(Window.partitionBy("digest").orderBy("sha")).alias("rank")), "ranks"
     )
-    named = found.join(maybe_broadcast(ranks), ["digest", "data"], "left")
+    named = found.join(maybe_broadcast(ranks), ["digest", "sha"], "left")
     name = F.concat(F.hex("digest"), F.lit(":"), F.coalesce("rank", F.lit(0)))
     parts = named.groupBy("doc_id", "text_sha256").agg(F.array_sort(F.collect_set(F.struct("pos", name.alias("name")))).alias("p"))
     lists = parts.select("doc_id", "text_sha256", F.array_join(F.col("p")["name"], ",").cast("binary").alias("recipe"))
