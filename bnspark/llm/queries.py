@@ -117,8 +117,8 @@ FROM d
 """
 
 
-def _op5_sql(rounds: int = url_filter.ROUNDS) -> str:
-    """The rules and the rounds of propagation, written out."""
+def _op5_sql() -> str:
+    """The rules, and the sums over damped paths of up to MOST_ROUNDS links."""
     rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in OP5_RULES)
     d = url_filter.DAMPING
     ctes = [
@@ -138,23 +138,19 @@ def _op5_sql(rounds: int = url_filter.ROUNDS) -> str:
         f" '(?i)href\\s*=\\s*[\"'']?(?:https?:)?//([^/?#\"''\\s>]+)', 1)), '{url_filter.UPPER}', '{url_filter.LOWER}') AS dst FROM p)",
         "link AS (SELECT src, dst, count(*) AS n FROM link0 WHERE src <> '' AND src <> dst GROUP BY ALL)",
         "both0 AS (SELECT 'trust' AS kind, src AS host, dst, n FROM link UNION ALL SELECT 'distrust', dst, src, n FROM link)",
-        "edges AS (SELECT kind, host, dst, n / sum(n) OVER (PARTITION BY kind, host) AS w FROM both0)",
-        "r0 AS (SELECT kind, host, share AS score FROM seeds)",
+        f"edges AS (SELECT kind, host, dst, {d} * n / sum(n) OVER (PARTITION BY kind, host) AS w FROM both0)",
+        "path(k, kind, host, v) AS (SELECT 0, kind, host, share FROM seeds UNION ALL SELECT k + 1, e.kind, e.dst, sum(e.w * v)"
+        f" FROM path JOIN edges e ON e.kind = path.kind AND e.host = path.host WHERE k < {url_filter.MOST_ROUNDS} GROUP BY k, e.kind, e.dst)",
+        "raw AS (SELECT kind, host, sum(v) AS score FROM path GROUP BY ALL)",
+        "ranks AS (SELECT kind, host, score / sum(score) OVER (PARTITION BY kind) AS score FROM raw)",
     ]
-    for i in range(1, rounds + 1):
-        ctes += [
-            f"g{i} AS MATERIALIZED (SELECT kind, dst AS host, {d} * sum(w * score) AS got FROM edges JOIN r{i - 1} USING (kind, host) GROUP BY ALL)",
-            f"m{i} AS (SELECT kind, sum(got) AS passed FROM g{i} GROUP BY kind)",
-            f"r{i} AS MATERIALIZED (SELECT kind, host, coalesce(got, 0) + coalesce(share * (1.0 - coalesce(passed, 0)), 0) AS score"
-            f" FROM g{i} FULL JOIN seeds USING (kind, host) LEFT JOIN m{i} USING (kind))",
-        ]
     ctes += [
         "size AS (SELECT kind, count(*) AS many FROM seeds GROUP BY kind)",
-        f"excess AS (SELECT host FROM r{rounds} JOIN size USING (kind) GROUP BY host"
+        "excess AS (SELECT host FROM ranks JOIN size USING (kind) GROUP BY host"
         f" HAVING sum(CASE kind WHEN 'trust' THEN -score * many ELSE score * many END) > {url_filter.THRESHOLD})",
     ]
     return (
-        "WITH " + ",\n".join(ctes) + "\nSELECT page_id, host, path, rule,"
+        "WITH RECURSIVE " + ",\n".join(ctes) + "\nSELECT page_id, host, path, rule,"
         " coalesce(said, CASE WHEN host IN (SELECT host FROM excess) THEN 'block' END, 'allow') AS verdict FROM ruled"
     )
 

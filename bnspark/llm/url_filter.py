@@ -3,7 +3,9 @@
 Hosts whose pages are mostly blocked by rules are blocked seeds; other hosts with a page that a rule
 allows are trusted seeds.  Personalised PageRank runs from the trusted seeds along the links, and from the
 blocked seeds against them: a host is good if good hosts link to it, and bad if it links to bad ones.
-The mass of hosts without links goes back to the seeds.  Both scores are in units of a seed's share; a
+The mass of hosts without links goes back to the seeds.  With that, a score is the sum over all lengths of
+damped paths from the seeds, scaled to a sum of one; lengths are added until what a longer one can still
+add to any host is less than TOLERANCE.  Both scores are in units of a seed's share; a
 host whose distrust exceeds its trust by more than THRESHOLD has its remaining pages blocked.
 """
 
@@ -17,10 +19,11 @@ from pyspark.sql import functions as F
 from bnspark.llm.common import attach, drop, materialize
 
 DAMPING = 0.85
-ROUNDS = 20
 MOSTLY = 0.5
 # Half of what a seed that nothing links to keeps as its own: seeds pass it, hosts that they reach may.
 THRESHOLD = 0.5 * (1 - DAMPING)
+TOLERANCE = 0.01 * THRESHOLD  # of a seed's share
+MOST_ROUNDS, ROUNDS_A_TABLE = 400, 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)href\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
 Rule = tuple[str, str, str]  # host, path, allow or block
@@ -63,39 +66,49 @@ def host_links(pages: DataFrame) -> DataFrame:
     return out.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """Personalised PageRank: links (kind, src, dst, n), seeds (kind, host, share) whose shares sum to 1
-    for each kind; gives (kind, host, score).  Each round writes what the hosts receive and reads it
-    back, so a lost executor costs one round."""
+    for each kind; gives (kind, host, score).  Every ROUNDS_A_TABLE rounds are written and read back, so a lost
+    executor costs those.  What rounds add shrinks by DAMPING at least, so the largest addition to a host, times
+    DAMPING / (1 - DAMPING), bounds all that are to come."""
     out_of = links.groupBy("kind", "src").agg(F.sum("n").alias("total"))
     edges = materialize(
-        links.join(out_of, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("n") / F.col("total")).alias("w")),
+        links.join(out_of, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("n") / F.col("total") * DAMPING).alias("w")),
         "edges",
     )
-    seeds = materialize(seeds, "seeds")
-    ranks = seeds.withColumnRenamed("share", "score")
+    new = materialize(seeds.select("kind", "host", F.col("share").alias("score")), "seeds")
     if edges.isEmpty():  # then all mass goes back to the seeds in each round
-        return ranks
-    held: list[DataFrame] = []
-    for _ in range(rounds):
-        got = edges.join(ranks, ["kind", "host"]).groupBy("kind", F.col("dst").alias("host"))
-        got = materialize(got.agg((F.sum(F.col("w") * F.col("score")) * DAMPING).alias("got")), "got")
-        passed = dict(got.groupBy("kind").agg(F.sum("got")).collect())  # a row for each of two kinds
-        back = F.lit(1.0)
-        for kind, mass in passed.items():
-            back = F.when(F.col("kind") == kind, F.lit(1.0 - mass)).otherwise(back)
-        ranks = got.join(seeds, ["kind", "host"], "full").select(
-            "kind", "host", (F.coalesce("got", F.lit(0.0)) + F.coalesce(F.col("share") * back, F.lit(0.0))).alias("score")
-        )
-        ranks = materialize(ranks, "ranks")
-        for old in [got, *held]:
-            drop(old)
-        held = [ranks]
+        return new
+    # In units of a seed's share; the scale to a sum of one is at most 1.
+    unit = {r["kind"]: r["n"] for r in new.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    large = F.lit(0.0)
+    for kind, n in unit.items():
+        large = F.when(F.col("kind") == kind, F.col("score") * n).otherwise(large)
+    total = new
+    for _ in range(MOST_ROUNDS // ROUNDS_A_TABLE):
+        added = []
+        for _ in range(ROUNDS_A_TABLE):
+            new = edges.join(new, ["kind", "host"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("w") * F.col("score")).alias("score"))
+            added.append(new.withColumn("round", F.lit(len(added))))
+        every = added[0]
+        for more in added[1:]:
+            every = every.unionByName(more)
+        every = materialize(every, "added")
+        whole = total.unionByName(every.drop("round")).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        whole = materialize(whole, "ranks")
+        drop(total)
+        total, new = whole, every.where(F.col("round") == ROUNDS_A_TABLE - 1).drop("round")
+        most = new.agg(F.max(large)).first()[0] or 0.0
+        if most * DAMPING / (1 - DAMPING) < tolerance:
+            break
+    else:
+        raise RuntimeError(f"scores still change by {most} of a seed's share after {MOST_ROUNDS} rounds")
     drop(edges)
-    return ranks
+    sums = F.broadcast(total.groupBy("kind").agg(F.sum("score").alias("sum")))  # a row for each of two kinds
+    return total.join(sums, "kind").select("kind", "host", (F.col("score") / F.col("sum")).alias("score"))
 
 
-def verdicts(pages: DataFrame, rules: Sequence[Rule], rounds: int = ROUNDS) -> DataFrame:
+def verdicts(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """One row for each row of pages, repeats included: page_id, host, path, rule, verdict.
 
     A rule fits its host and all its subdomains if the path starts with the rule's; the longest wins,
@@ -125,7 +138,7 @@ def verdicts(pages: DataFrame, rules: Sequence[Rule], rounds: int = ROUNDS) -> D
         links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     )
     both = both.where(F.col("kind").isin(list(many)))
-    ranks = propagate(both, seeds.withColumn("share", share), rounds)
+    ranks = propagate(both, seeds.withColumn("share", share))
     unit = F.when(F.col("kind") == "trust", -F.lit(float(many.get("trust", 1)))).otherwise(F.lit(float(many.get("distrust", 1))))
     excess = ranks.groupBy("host").agg(F.sum(F.col("score") * unit).alias("excess"))
     bad = sizes.join(excess.where(F.col("excess") > THRESHOLD).select("host"), "host", "left_semi")
