@@ -738,6 +738,6 @@ for _name in NETWORKS:
 @query(_BEST_SQL)
 def sa_best_score(spark, sf_dir):
     enc = bn(spark, sf_dir, _SMALL)
-    found = simulated_annealing(enc, BDeu(1.0), 3, 2_000, init_temp=2_000.0, cooling_rate=0.99, seed=1, num_chains=8)
+    found = simulated_annealing(enc, BDeu(1.0), 3, 8_000, init_temp=20_000.0, cooling_rate=0.998, seed=1, num_chains=16)
     score = network_score(enc, [found.predecessors(v) for v in range(enc.num_of_vars)], BDeu(1.0))
     return spark.createDataFrame([(round(score, 3),)], "score double")
