@@ -8,9 +8,11 @@ in each domain by that posterior.  Rates r_d >= 0, the copies of a document in t
 
 by projected gradient from r = 1, t being the target share of each domain's words.  A step changes a
 rate by a product of its posterior and K numbers, the same for all, so a rate is a function of the
-posterior and the steps so far: each round is one pass that sums K numbers and nothing else moves.  With
-this M a step without any rate at zero is exact, so a few rounds do.  Rounds go on until the totals stand still;
-what is left between totals and targets, where no rates can meet them, is reported.
+posterior and the steps so far: each round is one pass that sums some numbers and nothing else moves.  The
+gradient is scaled by the same M over the documents whose rate isn't zero, so without any at zero a step is exact,
+and a few rounds do; each PLAIN-th round takes the M above, as rates at zero must be able to rise again.  Rounds go
+on until the totals stand still; what is left between totals and targets, where no rates can meet them, is
+reported.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ DOMAINS = ("good", "poor", "toxic")
 TARGETS = (0.90, 0.06, 0.04)
 SAMPLE = 4_000  # labelled documents, at most, that are fitted on
 VOCABULARY, LEAST_DOCS = 20_000, 5
-CLOSE, MOST_ROUNDS = 1e-6, 500
+CLOSE, MOST_ROUNDS, PLAIN, STALL = 1e-6, 60, 6, 8
 SHARES = 16
 PARTING, MARKS = "\n\r\t.,", "!?%#*&$|"
 SHARE = "\x01"  # starts the features that are no words
@@ -118,27 +120,40 @@ def rate_of(p: Column, steps: Sequence[Sequence[float]], most_rate: float | None
 
 def fit_rates(members: DataFrame, targets: Sequence[float], most_rate: float | None = None) -> tuple[list[list[float]], list[float]]:
     """Steps of the projected gradient over members (n_tokens, p), and the gaps that are left: for each domain its
-    share of all words less its target.  Targets need not sum to one.  Rounds end when the shares change by
-    less than CLOSE; MOST_ROUNDS without that raise.  Without words there are no steps."""
+    share of all words less its target.  Targets need not sum to one.  Rounds end when the shares meet the targets
+    to CLOSE, or STALL rounds have not lessened the squares by a hundredth, or after MOST_ROUNDS; the steps to the
+    best round are returned, and the gaps say what it leaves.  Without words there are no steps."""
     k = len(targets)
-    sums = [F.sum(F.col("n_tokens") * F.col("p")[a] * F.col("p")[b]).alias(f"h{a}{b}") for a in range(k) for b in range(a, k)]
-    first = members.agg(F.sum("n_tokens").alias("n"), *sums).first()
-    if not first["n"]:
-        return [], [-float(t) for t in targets]
-    total = float(first["n"])
-    h = np.array([[first[f"h{min(a, b)}{max(a, b)}"] / total for b in range(k)] for a in range(k)])
-    m = np.linalg.inv(h + 1e-9 * np.eye(k))
+    square = [(a, b) for a in range(k) for b in range(a, k)]
+    p, n = [F.col("p")[a] for a in range(k)], F.col("n_tokens").cast("double")
     steps: list[list[float]] = []
-    before = np.full(k, np.inf)
-    for _ in range(MOST_ROUNDS):
-        served = F.col("n_tokens") * rate_of(F.col("p"), steps, most_rate)
-        got = np.array(members.agg(*[F.sum(served * F.col("p")[a]) for a in range(k)]).first(), float) / total
+    best: tuple[float, int, list[float]] | None = None
+    scale, since = np.zeros((k, k)), 0
+    for rounds in range(MOST_ROUNDS):
+        rated = members.withColumn("_rate", rate_of(F.col("p"), steps, most_rate))
+        free = F.when(F.col("_rate") > 0, n).otherwise(F.lit(0.0))
+        row = rated.agg(F.sum(n), *[F.sum(n * F.col("_rate") * x) for x in p], *[F.sum(free * p[a] * p[b]) for a, b in square]).first()
+        if not row[0]:
+            return [], [-float(t) for t in targets]
+        got = np.array(row[1 : k + 1], float) / row[0]
+        h = np.zeros((k, k))
+        for (a, b), x in zip(square, row[k + 1 :], strict=True):
+            h[a, b] = h[b, a] = x / row[0]
+        m = np.linalg.inv(h + 1e-9 * np.eye(k))
+        scale = scale if rounds else m
         gap = got - np.array(targets)
-        if np.abs(gap).max() < CLOSE or np.abs(got - before).max() < CLOSE:
-            return steps, [float(x) for x in gap]
-        before = got
-        steps.append([float(x) for x in m @ gap])
-    raise RuntimeError(f"rates still change after {MOST_ROUNDS} rounds; gaps {gap}")
+        value = float(gap @ scale @ gap)
+        since = 0 if best is None or value < 0.99 * best[0] else since + 1
+        if best is None or value < best[0]:
+            best = value, len(steps), [float(x) for x in gap]
+        if np.abs(gap).max() < CLOSE or since >= STALL:
+            break
+        steps.append([float(x) for x in (scale if rounds % PLAIN == 0 else m) @ gap])
+    return steps[: best[1]], best[2]
+
+
+def _members_of(rows: DataFrame, posterior: Posterior) -> DataFrame:
+    return materialize(posterior.of(with_features(rows)), "members")
 
 
 def mixing_rates(
@@ -151,7 +166,7 @@ def mixing_rates(
     in no total, but get the rate of their posterior.  A null doc_id has no label and stays null.  An empty
     table gives no rows; other columns are not read."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    members = materialize(train(rows, labels).of(with_features(rows)), "members")
+    members = _members_of(rows, train(rows, labels))
     steps, gaps = fit_rates(members, targets, most_rate)
     return members.select(
         "doc_id", "n_tokens", *[F.col("p")[k].alias("p_" + name) for k, name in enumerate(DOMAINS)],
@@ -167,7 +182,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: Sequence[float] = TARGETS
     rows, and no name of another column matters."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
-    members = materialize(train(rows, labels).of(with_features(whole)), "members")
+    members = _members_of(whole, train(rows, labels))
     steps, _ = fit_rates(members.select("n_tokens", "p"), targets, most_rate)
     own = members.select("row", rate_of(F.col("p"), steps, most_rate).alias("_r"))
     part = F.pmod(F.xxhash64(F.lit(8), F.col("row.doc_id"), F.col("row.text")), F.lit(1 << 30)) / float(1 << 30)
