@@ -57,7 +57,7 @@ def _literal(values: list, kind: str) -> Column:
 
 
 def _json(value: object, kind: str) -> Column:
-    """A nested constant, which the optimizer folds into one literal."""
+    """A nested constant, parsed again for each paragraph that is likely enough to be confirmed."""
     return F.from_json(F.lit(json.dumps(value)), kind)
 
 

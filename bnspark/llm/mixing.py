@@ -17,7 +17,6 @@ reported.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -113,7 +112,7 @@ def rate_of(p: Column, steps: Sequence[Sequence[float]], most_rate: float | None
     """The rate of a document with posteriors p after the steps so far."""
     if not steps:
         return F.lit(1.0)
-    given = F.from_json(F.lit(json.dumps([list(s) for s in steps])), "array<array<double>>")  # folded into one literal
+    given = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])  # the optimizer makes one literal of it
     move = lambda g: sum((p[k] * g[k] for k in range(1, len(steps[0]))), p[0] * g[0])
     bound = (lambda r: r) if most_rate is None else lambda r: F.least(F.lit(float(most_rate)), r)
     return F.aggregate(given, F.lit(1.0), lambda r, g: bound(F.greatest(F.lit(0.0), r - move(g))))
