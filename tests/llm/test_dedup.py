@@ -184,6 +184,36 @@ def test_recall_on_documents(spark):
     assert fuzzy > 10 and sum(map(len, got.values())) - exact >= 0.9 * fuzzy
 
 
+def shuffled(spark):
+    """Bytes of shuffles so far."""
+    jvm, none = spark._jvm, spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, none, jvm.java.util.ArrayList())
+    return {(stages.apply(k).stageId(), stages.apply(k).attemptId()): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+
+
+def test_line_dedup_shuffles_no_text_that_stays_as_it_is(spark):
+    rng = random.Random(6)
+    line = lambda: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(120))
+    rows = [(i, "\n".join(line() for _ in range(3))) for i in range(400)]
+    rows += [(1_000 + i, t) for i, (_, t) in enumerate(rows[:3])]
+    docs = table(spark, rows).cache()
+    docs.count()
+    before = shuffled(spark)
+    assert line_dedup.line_report(docs).where("n_dropped > 0").count() == 3
+    moved = sum(n for k, n in shuffled(spark).items() if k not in before)
+    docs.unpersist()
+    assert moved < 0.5 * sum(len(t) for _, t in rows)
+
+
+def test_places_are_all_found(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([i, -i, line_dedup.NO_ID]), rng.randrange(-(1 << 63), 1 << 63), rng.randrange(50)) for i in range(300)]
+    places = common.Places(spark.createDataFrame(rows, "doc_id long, doc long, pos int"), len(rows))
+    assert all(pos in places.among(i, d, 50) for i, d, pos in rows)
+    assert sum(len(places.among(i, d, 50)) for i, d, _ in rows) < 2 * len(rows)
+
+
 # Exact.
 
 
