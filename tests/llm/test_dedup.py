@@ -184,6 +184,34 @@ def test_recall_on_documents(spark):
     assert fuzzy > 10 and sum(map(len, got.values())) - exact >= 0.9 * fuzzy
 
 
+def test_distances_of_many_at_once():
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcé \U0001f600") for _ in range(n))
+    for _ in range(100):
+        a, others = word(rng.randrange(1, 90)), [word(rng.randrange(1, 90)) for _ in range(rng.randrange(1, 9))]
+        assert line_dedup.distances(a, [*others, a]).tolist() == [line_dedup.edit_distance(a, b) for b in [*others, a]]
+
+
+def test_candidates_with_few_words_in_common_are_compared(spark):
+    """Typing errors in over a quarter of the words: lines that share a block and are alike are one."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(9))
+    found = []
+    for _ in range(4_000):
+        own = [word() for _ in range(20)]
+        other = [w[:4] + "z" + w[5:] if k < 6 else w for k, w in enumerate(own)]
+        pair = [" ".join(x).encode() for x in (own, other)]
+        fp, keys = line_dedup.fingerprints(pair)
+        if int(fp[0] ^ fp[1]).bit_count() <= line_dedup.MOST_BITS and (keys[0] == keys[1]).any():
+            assert not line_dedup.Tokens(pair).overlap(0, np.array([1]))[0]
+            found.append([x.decode() for x in pair])
+        if len(found) == 10:
+            break
+    rows = [(2 * i + k, t) for i, pair in enumerate(found) for k, t in enumerate(pair)]
+    got = {r.doc_id: r.n_dropped for r in line_dedup.line_report(table(spark, rows)).collect()}
+    assert len(found) == 10 and got == {i: i % 2 for i, _ in rows}
+
+
 def shuffled(spark):
     """Bytes of shuffles so far."""
     jvm, none = spark._jvm, spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
