@@ -58,8 +58,6 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
 @lru_cache(maxsize=1)
 def _decoder() -> np.ndarray:
     """The codeword index (12 bits) nearest to each of the 2^23 words; no word is over 3 bits away."""
-    word = np.arange(1 << 23, dtype=np.uint32)
-
     def syndrome(x: np.ndarray) -> np.ndarray:
         x = x.copy()
         for bit in range(22, 10, -1):
@@ -69,7 +67,11 @@ def _decoder() -> np.ndarray:
     errors = np.array([sum(1 << b for b in c) for w in range(4) for c in combinations(range(23), w)], np.uint32)
     leader = np.zeros(1 << 11, np.uint32)
     leader[syndrome(errors)] = errors
-    return ((word ^ leader[syndrome(word)]) >> 11).astype(np.uint16)
+    table = np.empty(1 << 23, np.uint16)
+    for at in range(0, len(table), 1 << 18):  # a worker holds the table and little more
+        word = np.arange(at, at + (1 << 18), dtype=np.uint32)
+        table[at : at + (1 << 18)] = (word ^ leader[syndrome(word)]) >> 11
+    return table
 
 
 def golay_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +99,8 @@ def _fingerprint(shingle: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return run
 
 
-def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprints to (key, fp), a row for each Golay key."""
     for batch in batches:
         fp = batch.column(0).to_numpy()
         for at in range(0, len(fp), 4096):
@@ -119,7 +122,7 @@ def simhash_components(
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     fps = materialize(rows.mapInArrow(_fingerprint(shingle), "doc_id long, fp long"), "fingerprints")
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "nodes")
-    keyed = nodes.select("fp").mapInArrow(_emit_keys, "key long, fp long")
+    keyed = nodes.select("fp").mapInArrow(emit_keys, "key long, fp long")
     labels = connected_components(hamming_links(keyed, MOST_BITS, block))
     linked = materialize(
         nodes.join(labels.select(F.col("node").alias("fp"), F.col("component").alias("root")), "fp"), "linked"

@@ -418,6 +418,21 @@ def test_alike_is_jaccard_in_columns_of_any_width(monkeypatch):
     assert len(a) == len(sets) - len({frozenset(np.flatnonzero(np.linalg.matrix_power(np.array(want, float), 7)[k])) for k in range(7)})
 
 
+def test_golay_keys_give_candidates_of_near_copies(spark):
+    """Fingerprints two bits apart come together, whatever their blocks; three bits apart, only by a block."""
+    rng = random.Random(1)
+    rows, pairs = [], []
+    for g in range(40):
+        fp = rng.randrange(1 << 64)
+        n = 2 + (g % 2)
+        other = fp ^ sum(1 << b for b in rng.sample(range(64), n))
+        pair = [int(np.array(x, np.uint64).view(np.int64)) for x in (fp, other)]
+        rows += [(x, [1_000 * g + 100 * k + j for j in range(12)]) for k, x in enumerate(pair)]
+        pairs.append((n, pair))
+    got = {r.fp: r.component for r in near_copies.candidates(spark.createDataFrame(rows, "fp long, keys array<long>")).collect()}
+    assert all((a in got and got[a] == got.get(b)) == (n == 2) for n, (a, b) in pairs)
+
+
 def test_near_copies_go_by_row_not_by_id(spark):
     a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
     rows = [(1, a), (5, a + " end"), (5, b), (7, c), (7, c), (None, c + " end"), (None, "alone")]
