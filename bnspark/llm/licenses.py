@@ -13,6 +13,7 @@ phrases, or the family's texts hold CONTAINED of the paragraph's, which has LEAS
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
@@ -56,6 +57,12 @@ def _literal(values: list, kind: str) -> Column:
     return F.split(F.lit("\n".join(map(str, values))), "\n").cast(f"array<{kind}>")
 
 
+def _in(known: list[str]) -> Callable[[Column], Column]:
+    """Whether a word is one of many: a look into a hash set that is made once, where functions of arrays make one
+    for each row."""
+    return lambda w: w.isin(known)
+
+
 def _json(value: object, kind: str) -> Column:
     """A nested constant, parsed again for each paragraph that is likely enough to be confirmed."""
     return F.from_json(F.lit(json.dumps(value)), kind)
@@ -87,7 +94,7 @@ class Scanner:
             scored,
             lambda s: F.struct(
                 s["line"].alias("line"), s["tokens"].alias("tokens"),
-                F.transform(F.array_intersect(grams(s["tokens"]), vocabulary), lambda g: F.array_position(vocabulary, g)).alias("at"),
+                F.transform(F.filter(grams(s["tokens"]), _in(self.vocabulary)), lambda g: F.array_position(vocabulary, g)).alias("at"),
             ),
         )
         classes = F.sequence(F.lit(0), F.lit(len(self.families) - 1))
@@ -135,9 +142,8 @@ class Scanner:
 
     def candidates(self, text: Column) -> Column:
         """Paragraphs with a rare word, as (line, tokens); all others have no feature."""
-        rare = _literal(self.rare, "string")
         lines = F.transform(F.split(text, "\n"), lambda p, i: F.struct(i.alias("line"), words(p).alias("tokens")))
-        return F.filter(lines, lambda s: F.arrays_overlap(s["tokens"], rare))
+        return F.filter(lines, lambda s: F.exists(s["tokens"], _in(self.rare)))
 
 
 def _held(spark: SparkSession) -> dict[str, list[list[str]]]:
@@ -160,9 +166,12 @@ class Marks:
 
     def found(self, tokens: Column) -> Column:
         """Whether a paragraph is like a licence or names one, and so is no background."""
-        own = pairs(tokens)
-        shared = F.size(F.array_intersect(own, _literal(self.known, "string")))
-        return (shared >= LICENCE_LIKE * F.size(own)) & (shared > 0) | F.arrays_overlap(own, _literal(self.names, "string"))
+
+        def marked(own: Column) -> Column:
+            shared = F.size(F.array_distinct(F.filter(own, _in(self.known))))
+            return (shared >= LICENCE_LIKE * F.size(own)) & (shared > 0) | F.exists(own, _in(self.names))
+
+        return F.transform(F.array(pairs(tokens)), marked)[0]  # so pairs are made once
 
 
 def _sampled(docs: DataFrame, bound: int) -> DataFrame:
@@ -178,8 +187,10 @@ def _background(docs: DataFrame, bound: int) -> DataFrame:
 
 def _paragraphs(docs: DataFrame) -> DataFrame:
     """Every paragraph of every document, repeats included: doc_id, text, tokens."""
-    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("text")).where("trim(text) <> ''")
-    return lines.withColumn("tokens", words(F.col("text")))
+    each = F.transform(F.split("text", "\n"), lambda p: F.struct(p.alias("text"), words(p).alias("tokens")))
+    # Words are made before rows are: a filter over them would else make them again for each place that uses them.
+    lines = docs.select("doc_id", F.explode(each).alias("p")).select("doc_id", "p.text", "p.tokens")
+    return lines.where("trim(text) <> ''")
 
 
 def rare_words(docs: DataFrame, marks: Marks) -> list[str]:
@@ -187,7 +198,7 @@ def rare_words(docs: DataFrame, marks: Marks) -> list[str]:
     a count for each word of a template, and one of its paragraphs."""
     mine = _templates(docs.sparkSession).select(F.explode(words(F.col("text"))).alias("w")).distinct()
     used = sorted(r[0] for r in mine.collect())  # of the templates alone
-    seen = _paragraphs(docs).select("tokens", F.array_intersect("tokens", _literal(used, "string")).alias("w"))
+    seen = _paragraphs(docs).select("tokens", F.array_distinct(F.filter("tokens", _in(used))).alias("w"))
     background = seen.where((F.size("w") < 2) | ~marks.found(F.col("tokens")))
     often = {r["w"]: r["count"] for r in background.select(F.explode(F.array_append("w", "\n")).alias("w")).groupBy("w").count().collect()}
     n = max(often.get("\n", 0), 1)  # the line feed stands for the paragraph
@@ -200,9 +211,8 @@ def calibrated(docs: DataFrame, fitted: Scanner, marks: Marks, sampled: list[int
     split = F.pmod(F.xxhash64(F.lit(7), F.col("text")), F.lit(2))
     was_fitted = F.coalesce(F.col("doc_id").isin(sampled), F.lit(False)) & (split == 0)
     lines = _paragraphs(docs).where(~was_fitted)
-    rare = _literal(fitted.rare, "string")
     none = F.array().cast("array<string>")
-    tokens = F.when(F.arrays_overlap("tokens", rare), F.col("tokens")).otherwise(none)
+    tokens = F.when(F.exists("tokens", _in(fitted.rare)), F.col("tokens")).otherwise(none)
     counted = lines.select(tokens.alias("tokens"))
     total = counted.groupBy((F.size("tokens") > 0).alias("scored")).count().collect()
     plain = sum(r["count"] for r in total if not r["scored"])

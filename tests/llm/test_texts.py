@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from bnspark.llm import fingerprints, licenses, mixing, quality, queries, sentencepiece_bpe, url_filter, warc
@@ -162,6 +163,21 @@ def test_licences_in_other_words(spark):
     assert sum(got[1_000 + i] is not None for i in range(len(NO_LICENCES))) == 0
 
 
+def test_marks_look_words_up(spark):
+    """What is found is what sets of words say, and no array of all phrases is gone through for a paragraph."""
+    held = licenses._held(spark)
+    marks = licenses.Marks.of(spark, held)
+    texts = [t for t, _ in LICENCES] + NO_LICENCES + ["", "one", "under the terms of the terms of the", "the software is a car and nothing else at all"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", licenses.words(F.col("text")).alias("w"))
+    found = df.select("text", "w", marks.found(F.col("w")).alias("found"))
+    for r in found.collect():
+        own = [f"{a} {b}" for a, b in zip(r.w, r.w[1:])] or r.w
+        shared = len(set(own) & set(marks.known))
+        assert r.found == (shared > 0 and shared >= licenses.LICENCE_LIKE * len(own) or bool(set(own) & set(marks.names)))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" not in plan and "arrays_overlap" not in plan
+
+
 def test_rare_license_words_are_counted_in_all_documents(spark):
     """Licence words fill the one sampled document and no other: they stay features."""
     rows = [(i, "\n".join(f"plain words of row {i} line {k}" for k in range(60))) for i in range(30)]
