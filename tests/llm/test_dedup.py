@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from bnspark.llm import common, exact_dedup, hamming, line_dedup, near_copies, simhash
 
@@ -496,3 +497,72 @@ def test_maybe_in_loses_nothing(spark, monkeypatch, most):
     got = {r.id for r in common.maybe_in(rows, "k", keys, keys.count()).collect()}
     assert got >= set(range(3, 20_000, 17)) and len(got) < 2_500
     assert common.maybe_in(rows, "k", keys.limit(0), 0).count() == 0
+
+
+def brute_links(rows, most):
+    """Components of the fingerprints that a key brings together at most `most` bits apart."""
+    label = {fp: fp for fp, _ in rows}
+    for a, ka in rows:
+        for b, kb in rows:
+            if label[a] != label[b] and set(ka) & set(kb) and ((a ^ b) & (1 << 64) - 1).bit_count() <= most:
+                old, new = sorted((label[a], label[b]))[::-1]
+                label = {fp: new if c == old else c for fp, c in label.items()}
+    return {fp: c for fp, c in label.items() if list(label.values()).count(c) > 1}
+
+
+@pytest.mark.parametrize("kind", ["int", "long"])
+@pytest.mark.parametrize("block", [hamming.BLOCK, 12])
+def test_list_links(spark, monkeypatch, kind, block):
+    """Keys are dealt to parts as bytes, those with more than `block` rows in pairs of blocks: the same components."""
+    monkeypatch.setattr(hamming, "PART", 50)
+    rng = random.Random(5)
+    width = 31 if kind == "int" else 63
+    base = [rng.getrandbits(64) - (1 << 63) for _ in range(60)]
+    rows = []
+    for _ in range(240):
+        fp = rng.choice(base)
+        for bit in rng.sample(range(63), rng.randrange(3)):
+            fp ^= 1 << bit
+        rows.append((fp, [rng.choice([-7, 5, rng.randrange(40), rng.getrandbits(width) - (1 << width - 1)]) for _ in range(4)]))
+    rows += rows[:5]
+    df = spark.createDataFrame(rows, f"fp long, keys array<{kind}>").repartition(3)
+    got = common.connected_components(hamming.list_links(df, 4, block)).collect()
+    assert {r.node: r.component for r in got} == brute_links(rows, 4)
+    groups = df.selectExpr("fp", "keys").withColumn("keys", F.expr("slice(keys, 1, 0)"))
+    assert hamming.list_links(groups, 4, block).count() == 0
+    assert hamming.list_links(df.limit(0), 4, block).count() == 0
+
+
+def test_list_links_move_bytes(spark):
+    """No row for each key meets a shuffle on the way to the links."""
+    df = spark.range(3_000).selectExpr("id as fp", "array(id % 1000, id + 5000) as keys")
+    plan = hamming.list_links(df, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan and "keys#" in plan
+
+
+def test_alike_is_exact():
+    """The bounds that spare edit distances don't change what is alike."""
+    rng = random.Random(9)
+    for _ in range(1_500):
+        a = ["".join(rng.choice("abc\u00e9") for _ in range(rng.randrange(6))) for _ in range(rng.randrange(1, 25))]
+        b = list(a)
+        for _ in range(rng.randrange(8)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randrange(2)] = ["xy"] * rng.randrange(2)
+        x, y = " ".join(a), " ".join(b)
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            new = [i]
+            for j, d in enumerate(y, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+            row = new
+        longer = max(len(x), len(y))
+        assert line_dedup.edit_distance(x, y) == row[-1] <= line_dedup.most_distance(x, y)
+        assert line_dedup.alike(x, y) == (longer - row[-1] >= 0.8 * longer - 1e-9)
+
+
+def test_empty_lines_and_whole_documents(spark):
+    """Documents that lose nothing are told by their line feeds, whatever empty lines they hold."""
+    rows = [(1, "one two three\n\nfour five six"), (2, "\nseven eight nine"), (3, "ten eleven twelve\n"), (4, ""), (5, None), (6, "\n"), (7, "four five six\n\n\nalone here now")]
+    got = {r.doc_id: (r.n_lines, r.dropped) for r in line_dedup.line_report(table(spark, rows)).collect()}
+    assert got == {1: (3, []), 2: (2, []), 3: (2, []), 4: (0, []), 5: (0, []), 6: (2, []), 7: (4, [0])}
