@@ -14,7 +14,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from bnspark.llm import fingerprints, licenses, mixing, quality, queries, sentencepiece_bpe, url_filter, warc
+from bnspark.llm import common, fingerprints, licenses, mixing, quality, queries, sentencepiece_bpe, url_filter, warc
 
 SF = "/root/testdata/sf0.001"
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -611,3 +611,24 @@ def test_queries_equal_their_sql(spark, name):
     df = queries.QUERIES[name](spark, SF)
     want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({queries.ORACLES[name]})").fetchall()
     assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, want))
+
+
+def test_stages_begin_with_small_heaps(spark, monkeypatch):
+    """Each stage lets executors give back heap before it reads anything, by as many tasks as there are cores."""
+
+    class Shrunk(Exception):
+        pass
+
+    def shrunk(spark):
+        raise Shrunk
+
+    monkeypatch.setattr(corpus_pipeline, "shrink", shrunk)
+    for _, stage in corpus_pipeline.STAGES:
+        with pytest.raises(Shrunk):
+            stage(spark, None, SF)
+    spark.sparkContext.setJobGroup("shrink", "")
+    common.shrink(spark)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [i for job in tracker.getJobIdsForGroup("shrink") for i in tracker.getJobInfo(job).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sum(tracker.getStageInfo(i).numTasks for i in stages) == spark.sparkContext.defaultParallelism
