@@ -566,3 +566,26 @@ def test_empty_lines_and_whole_documents(spark):
     rows = [(1, "one two three\n\nfour five six"), (2, "\nseven eight nine"), (3, "ten eleven twelve\n"), (4, ""), (5, None), (6, "\n"), (7, "four five six\n\n\nalone here now")]
     got = {r.doc_id: (r.n_lines, r.dropped) for r in line_dedup.line_report(table(spark, rows)).collect()}
     assert got == {1: (3, []), 2: (2, []), 3: (2, []), 4: (0, []), 5: (0, []), 6: (2, []), 7: (4, [0])}
+
+
+@pytest.mark.parametrize("few", [0, common.LOCAL_EDGES])
+def test_components_ended_by_the_driver(spark, monkeypatch, few):
+    """What rounds leave of a graph is ended by the driver with the same components, of numbers and of bytes."""
+    monkeypatch.setattr(common, "LOCAL_EDGES", few)
+    rng = random.Random(3)
+    order = rng.sample(range(400), 400)
+    edges = list(zip(order[:150], order[1:151], strict=True)) + [(rng.randrange(150, 400), rng.randrange(150, 400)) for _ in range(120)]
+    label = list(range(400))
+    for a, b in edges:
+        old, new = max(label[a], label[b]), min(label[a], label[b])
+        label = [new if x == old else x for x in label]
+    want = {a: label[a] for e in edges if e[0] != e[1] for a in e}
+    made = []
+    kept = common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, name: made.append(name) or kept(df, name))
+    got = common.connected_components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r.node: r.component for r in got.collect()} == want
+    assert (len([x for x in made if x == "edges"]) == 2) == (few > 0)
+    rows = [(a.to_bytes(2, "big"), b.to_bytes(2, "big")) for a, b in edges]
+    got = common.connected_components(spark.createDataFrame(rows, "a binary, b binary"))
+    assert {int.from_bytes(r.node, "big"): int.from_bytes(r.component, "big") for r in got.collect()} == want
