@@ -4,8 +4,10 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from bnspark.llm import common, exact_dedup, hamming, line_dedup, near_copies, simhash
 
@@ -589,3 +591,46 @@ def test_components_ended_by_the_driver(spark, monkeypatch, few):
     rows = [(a.to_bytes(2, "big"), b.to_bytes(2, "big")) for a, b in edges]
     got = common.connected_components(spark.createDataFrame(rows, "a binary, b binary"))
     assert {int.from_bytes(r.node, "big"): int.from_bytes(r.component, "big") for r in got.collect()} == want
+
+
+def test_groups_that_are_one_part_need_no_components(spark, monkeypatch):
+    """The task that compares a small group knows what its links connect; only groups of several parts need more."""
+    monkeypatch.setattr(line_dedup, "connected_components", lambda edges: pytest.fail("components of small groups"))
+    rows = texts()[:40]
+    want = brute_kept(rows)
+    got = {r.doc_id: r.dropped for r in line_dedup.line_report(table(spark, rows)).collect()}
+    assert got == {i: gone for (_, i, _), gone in want.items()} and any(got.values())
+
+
+@pytest.mark.parametrize("parts,deal", [(1, 1), (3, 7), (50, 1_000)])
+def test_lines_meet_as_bytes(monkeypatch, parts, deal):
+    """Each different line has one row with its first place, whatever stretches it came in; all other places are gone."""
+    monkeypatch.setattr(line_dedup, "DEAL", deal)
+    monkeypatch.setattr(line_dedup, "GONE", 2)
+    rng = random.Random(8)
+    docs = [(rng.choice([i, -i, line_dedup.NO_ID]), i, "\n".join(rng.choice(["one two", "One  two", "", " ", "x%d" % rng.randrange(30)]) for _ in range(6))) for i in range(60)]
+    docs += docs[:5] + [(7, 70, None), (8, 80, "")]  # repeats are one document
+    schema = pa.schema([("doc_id", pa.int64()), ("doc", pa.int64()), ("text", pa.string())])
+    batches = pa.Table.from_pylist([dict(zip(schema.names, d, strict=True)) for d in docs], schema).to_batches(9)
+    dealt = pa.Table.from_batches(line_dedup._lines(parts)(iter(batches))).sort_by("part")
+    got = pa.Table.from_batches(line_dedup._groups(iter(dealt.to_batches(4)))).to_pylist()
+    first, places = {}, set()
+    for i, d, text in docs:
+        for p, line in enumerate((text or "").split("\n")):
+            if n := line_dedup.normalised(line):
+                first[n] = min(first.get(n, (2,)), (i == line_dedup.NO_ID, i, d, p))
+                places.add((i, d, p))
+    found = {r["id"]: (r["doc_id"], r["doc"], r["pos"]) for r in got if r["id"] is not None}
+    assert found == {xxh3_128_digest(n): f[1:] for n, f in first.items()} and len(found) == sum(r["id"] is not None for r in got)
+    assert {(r["doc_id"], r["doc"], r["pos"]) for r in got if r["id"] is None} == places - set(found.values())
+    fp, keys = line_dedup.fingerprints(list(first))
+    own = {r["id"]: (r["fp"], r["keys"]) for r in got if r["id"] is not None}
+    for n, f, k in zip(first, fp.view(np.int64).tolist(), (keys >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist(), strict=True):
+        assert own[xxh3_128_digest(n)] == (f, k)
+
+
+def test_places_of_a_repeated_document_are_few(spark):
+    line = "one two three four five six seven eight"
+    rows = [(1, 1, line)] + [(2, 2, "other words\n" + line)] * 200 + [(3, 3, line + " nine")]
+    docs = spark.createDataFrame(rows, "doc_id long, doc long, text string")
+    assert {r.doc_id: r.gone for r in line_dedup.gone_lines(docs).collect()} == {2: [1], 3: [0]}
